@@ -181,7 +181,7 @@ WITH c AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
   SELECT *, row_number() OVER w - 1 AS pos, lag(role) OVER w AS prev,
-    length(role) + length(text) + 17
+    length(role) + length(text) + 20
     + (length(text) - length(replace(text, '\', '')))
     + (length(role) - length(replace(role, '\', '')))
     + len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]'))
