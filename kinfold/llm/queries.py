@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, sharding, urlfilter
+from . import chat, packing, sharding, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_hash_tree_shards": sharding.op2_hash_tree_shards,
     "op7_url_filter": urlfilter.op7_url_filter,
+    "op8_config_lp_packing": packing.op8_config_lp_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
