@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, sharding, urlfilter
+from . import chat, packing, sharding, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_hash_tree_shards": sharding.op2_hash_tree_shards,
+    "op4_simhash_variants": simhash.op4_simhash_variants,
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_config_lp_packing": packing.op8_config_lp_packing,
 }
