@@ -10,6 +10,7 @@ length go where; it has at most (configurations x distinct lengths in each) rows
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -124,6 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         model = Tokenizer.from_file(tokenizer)
         model.encode_special_tokens = True  # their strings in a text are ordinary text
         coder = ChunkEncoder(
