@@ -97,7 +97,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         F.slice("__p", F.lit(2), F.size("__p") - 1), F.slice("__p", F.lit(1), F.size("__p") - 1), lambda later, p: F.least(later - p, F.lit(WINDOW))
     )
     covered = F.when(F.col("__p").isNull(), F.lit(0)).otherwise(F.aggregate(gaps, F.lit(WINDOW), lambda a, x: a + x))
-    return rows.select(*done, covered.cast("long").alias("n_repeat_words"))
+    # A filter over the result must not be pushed below, where it would repeat the arrays' expressions inside their
+    # own lambdas; the optimizer leaves a projection with a partition's number alone.
+    return rows.select(*done, F.when(F.spark_partition_id() >= 0, covered.cast("long")).alias("n_repeat_words"))
 
 
 def ledger(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:

@@ -30,6 +30,17 @@ def chunks(text: str, pattern: regex.Pattern) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
+def rank_encoder(vocabulary: dict[str, int], pattern: str) -> Callable[[str], list[int]]:
+    """An encoder from a byte-level vocabulary in which merges are numbered in their order, as the tokenizers
+    library reads it. Each printable byte stands for itself there; the others, in order, for U+0100 and on."""
+    import tiktoken
+
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    byte = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    ranks = {bytes(byte[c] for c in token): n for token, n in vocabulary.items() if all(c in byte for c in token)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class ChunkEncoder:
     """Texts to little-endian unsigned 32-bit ids. ``encode_many`` encodes a list of chunks; at most
     ``entries`` of them are remembered at a time, and none of over ``longest`` characters."""
