@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, packing, rules, sharding, simhash, urlfilter
+from . import ann, bpe, chat, classifier, packing, rules, sharding, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_hash_tree_shards": sharding.op2_hash_tree_shards,
+    "op3_adaptive_scan": ann.op3_adaptive_scan,
     "op4_simhash_variants": simhash.op4_simhash_variants,
     "op5_ordinal_quality": classifier.op5_ordinal_quality,
+    "op6_bpe_word_shuffle": bpe.op6_bpe_word_shuffle,
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_config_lp_packing": packing.op8_config_lp_packing,
     "op9_rule_ledger": rules.op9_rule_ledger,
