@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, classifier, packing, rules, sharding, simhash, urlfilter
+from . import ann, bpe, chat, classifier, html, packing, rules, sharding, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_config_lp_packing": packing.op8_config_lp_packing,
     "op9_rule_ledger": rules.op9_rule_ledger,
+    "op10_wrapper_induction": html.op10_wrapper_induction,
 }
 
 ORACLE_SQL: dict[str, str] = {
