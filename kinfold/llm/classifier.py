@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -125,8 +125,9 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def examples(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and grades of the sample: at most 3 x ``per_grade`` documents reach the driver, as feature numbers."""
-    rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    known = graded(labels).join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("__n", rank).filter(F.col("__n") <= per_grade)
+    rated = graded(labels).join(docs.select("doc_id"), "doc_id", "left_semi")
+    first = lambda g: rated.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
+    known = first(0).unionByName(first(1)).unionByName(first(2))
     chosen = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "grade")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
