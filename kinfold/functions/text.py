@@ -78,7 +78,9 @@ def bucket(key: Column, n: int, salt: str = "") -> Column:
 def char_ngrams(token: Column, lo: int, hi: int) -> Column:
     """Character n-grams of a word padded by a space on each side, of lo to hi letters."""
     padded = F.concat(F.lit(" "), token, F.lit(" "))
-    return F.flatten(F.array(*[
-        F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substr(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in range(lo, hi + 1)
-    ]))
+
+    def of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substr(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[of(n) for n in range(lo, hi + 1)]))

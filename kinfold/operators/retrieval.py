@@ -36,7 +36,7 @@ def knn(queries: DataFrame, pool: DataFrame, k: int, block: int = 1024, cell: in
     size = lambda df, n, out: df.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(out))
     grid = size(queries, block, "nq").join(size(pool, cell, "nc"), "grp")
     left = queries.join(grid, "grp").select("grp", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("b"), "qid", "v")
-    right = pool.join(grid, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("a"), F.pmod(F.xxhash64("cid"), F.col("nc")).cast("int").alias("b"), "cid", "v")
+    right = pool.join(grid, "grp").select(F.col("grp").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("a"), F.pmod(F.xxhash64("cid"), F.col("nc")).cast("int").alias("b"), "cid", F.col("v").alias("v"))
 
     def product(q, c):
         import pandas as pd

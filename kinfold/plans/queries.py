@@ -294,7 +294,7 @@ def with_ann_known(spark, d):
     return R.with_ann(pairs, _ann(spark, d), pairs, 5)["known"]
 
 
-@register("with_ann_extra", f"SELECT s1_id, cand_id, 0.0 AS p, ann_score, ann_rank, 0 AS in_blocked, ann_top, ann_top - ann_score AS ann_gap FROM {_OWN} a WHERE ann_rank <= 5 AND NOT EXISTS (SELECT 1 FROM {_VP} p WHERE p.s1_id = a.s1_id AND p.cand_id = a.cand_id)")
+@register("with_ann_extra", f"SELECT s1_id, cand_id, 0.0::DOUBLE AS p, ann_score, ann_rank, 0 AS in_blocked, ann_top, ann_top - ann_score AS ann_gap FROM {_OWN} a WHERE ann_rank <= 5 AND NOT EXISTS (SELECT 1 FROM {_VP} p WHERE p.s1_id = a.s1_id AND p.cand_id = a.cand_id)")
 def with_ann_extra(spark, d):
     pairs = _vector_pairs(spark, d)
     return R.with_ann(pairs, _ann(spark, d), pairs, 5)["extra"]
@@ -306,13 +306,8 @@ def gate(spark, d):
     return R.gate(ann.select("s1_id", "cand_id"), _vector_pairs(spark, d), ann, 5)
 
 
-_GRAM = "SELECT entity_id AS id, unnest(flatten([[substr(' ' || t || ' ', i::INT, n::INT) FOR i IN range(1, length(t) + 4 - n)] FOR n IN [2, 3, 4]])) AS g FROM (SELECT entity_id, unnest(name_tokens) AS t FROM {0})"
-_UNIT = "SELECT id, g, tf * idf AS w, sqrt(sum((tf * idf)::HUGEINT * (tf * idf)) OVER (PARTITION BY id)::DOUBLE) AS norm FROM (SELECT id, g, count(*) AS tf FROM ({0}) GROUP BY ALL) JOIN st USING (g)"
-
-
-@register("tfidf_topn", fx.sql("SELECT 1 FROM s1, pool").split("\nSELECT")[0] + f""", st AS (SELECT g, floor(ln(1.0 + (SELECT count(*) FROM pool)::DOUBLE / count(DISTINCT id)) * 1e6 + 0.5)::BIGINT AS idf FROM ({_GRAM.format('pool')}) GROUP BY g),
-  uq AS ({_UNIT.format(_GRAM.format('s1'))}), uc AS ({_UNIT.format(_GRAM.format('pool'))})
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM (SELECT a.id AS qid, b.id AS cid, round(sum(a.w::HUGEINT * b.w)::DOUBLE / (max(a.norm) * max(b.norm)), 6) AS score FROM uq a JOIN uc b USING (g) GROUP BY ALL) WHERE score > 0.05) WHERE rank <= 25""")
+@register("tfidf_topn", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM (
+  SELECT a.id AS qid, b.id AS cid, round(sum(a.w::HUGEINT * b.w)::DOUBLE / (max(a.norm) * max(b.norm)), 6) AS score FROM uq a JOIN uc b USING (g) GROUP BY ALL) WHERE score > 0.05) WHERE rank <= 25""")
 def tfidf_topn(spark, d):
     s1, pool = fx.split(spark, d)
     of = lambda df: df.select(F.col("entity_id").alias("id"), F.col("name_tokens").alias("tokens"))
@@ -378,3 +373,36 @@ def word_ngrams(spark, d):
 def owner_conflicts(spark, d):
     n = S.select_approximate(_probs(spark, d)).groupBy("cand_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return n.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
+
+
+# String scores over candidates, and the learned score
+@register("feat_jaro", "SELECT s1_id, cand_id, round(CASE WHEN s_name = '' OR c_name = '' THEN 0.0 ELSE jaro_winkler_similarity(s_name, c_name) END, 6) AS n_jaro FROM base")
+def feat_jaro(spark, d):
+    from ..functions.similarity import score
+
+    return _base(spark, d)[0].select("s1_id", "cand_id", F.round(score("jaro_winkler", F.col("s_name"), F.col("c_name")), 6).alias("n_jaro"))
+
+
+for _q, _f in (("ratio", "ratio"), ("prefix", "prefix_ratio"), ("token_sort", "token_sort_ratio"), ("token_set", "token_set_ratio"), ("partial", "partial_ratio")):
+
+    @register(f"feat_{_q}")
+    def _score(spark, d, q=_q, f=_f):
+        from ..functions.similarity import score
+
+        return _base(spark, d)[0].select("s1_id", "cand_id", score(f, F.col("s_name"), F.col("c_name")).alias(f"n_{q}"))
+
+
+@register("gbt_score")
+def gbt_score(spark, d):
+    """Trees on built-in features against exact copies; rows only."""
+    from ..operators import learn as L
+
+    b, _, index = _base(spark, d)
+    pair = ["s1_id", "cand_id"]
+    rows = X.name_sets(b).join(X.address(b), pair).join(X.idf_cover(b, index), pair).join(b.select(*pair, "shared", "containment", "rnk"), pair)
+    names = [c for c in rows.columns if c not in pair]
+    ready, names = L.without_nulls(L.split_by_entity(L.labelled(rows, _truth(spark, d))), names)
+    ready = ready.persist()
+    model = L.fit_trees(ready, names, rounds=5)
+    kept, _ = L.score_pairs(model, L.calibrate(L.predicted(model, ready.filter("fold = 1"))), ready, 0.0)
+    return kept
