@@ -193,8 +193,9 @@ def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id (of
-    repeated ids the smallest text; rows without an id stay only where no row of the component has one)."""
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id. doc_id is the
+    key here: of rows that repeat one, the row with the smallest text stays. Rows without an id stay only where no row
+    of their component has one, one of them in all."""
     from pyspark.sql import Window
 
     keep = near_duplicates(docs).groupBy("component_id").agg(F.min("doc_id").alias("__keep"))
