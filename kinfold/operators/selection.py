@@ -39,11 +39,14 @@ def expected_f05(ps: Column) -> Column:
     dist = lambda xs: F.aggregate(xs, one, _convolve)
 
     def value(k: Column) -> Column:
-        hits, rest = dist(F.slice(ps, F.lit(1), k)), dist(F.slice(ps, k + 1, F.size(ps)))
-        cell = lambda a, h, b, r: a * b * 1.25 * h / (k + 0.25 * (h + r))
-        inner = lambda a, h: F.aggregate(F.transform(rest, lambda b, r: cell(a, h, b, r)), F.lit(0.0), lambda t, x: t + x)
-        e = F.aggregate(F.transform(hits, inner), F.lit(0.0), lambda t, x: t + x)
-        return F.struct(k.alias("k"), F.when(k == 0, F.element_at(rest, 1)).otherwise(e).alias("e"))
+        both = F.struct(dist(F.slice(ps, F.lit(1), k)).alias("hits"), dist(F.slice(ps, k + 1, F.size(ps))).alias("rest"))
+
+        def mean(x: Column) -> Column:  # x is bound, so that neither distribution is computed again in the loops
+            inner = lambda a, h: F.aggregate(F.transform(x["rest"], lambda b, r: a * b * 1.25 * h / (k + 0.25 * (h + r))), F.lit(0.0), lambda t, y: t + y)
+            e = F.aggregate(F.transform(x["hits"], inner), F.lit(0.0), lambda t, y: t + y)
+            return F.struct(k.alias("k"), F.when(k == 0, F.element_at(x["rest"], 1)).otherwise(e).alias("e"))
+
+        return F.element_at(F.transform(F.array(both), mean), 1)
 
     return F.transform(F.sequence(F.lit(0), F.size(ps)), value)
 
