@@ -375,7 +375,7 @@ def owner_conflicts(spark, d):
     return n.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
 
 
-# String scores over candidates, and the learned score
+# String scores over candidates
 @register("feat_jaro", "SELECT s1_id, cand_id, round(CASE WHEN s_name = '' OR c_name = '' THEN 0.0 ELSE jaro_winkler_similarity(s_name, c_name) END, 6) AS n_jaro FROM base")
 def feat_jaro(spark, d):
     from ..functions.similarity import score
@@ -391,18 +391,3 @@ for _q, _f in (("ratio", "ratio"), ("prefix", "prefix_ratio"), ("token_sort", "t
 
         return _base(spark, d)[0].select("s1_id", "cand_id", score(f, F.col("s_name"), F.col("c_name")).alias(f"n_{q}"))
 
-
-@register("gbt_score")
-def gbt_score(spark, d):
-    """Trees on built-in features against exact copies; rows only."""
-    from ..operators import learn as L
-
-    b, _, index = _base(spark, d)
-    pair = ["s1_id", "cand_id"]
-    rows = X.name_sets(b).join(X.address(b), pair).join(X.idf_cover(b, index), pair).join(b.select(*pair, "shared", "containment", "rnk"), pair)
-    names = [c for c in rows.columns if c not in pair]
-    ready, names = L.without_nulls(L.split_by_entity(L.labelled(rows, _truth(spark, d))), names)
-    ready = ready.persist()
-    model = L.fit_trees(ready, names, rounds=5)
-    kept, _ = L.score_pairs(model, L.calibrate(L.predicted(model, ready.filter("fold = 1"))), ready, 0.0)
-    return kept
