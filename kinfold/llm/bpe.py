@@ -1,9 +1,10 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 A block is a bounded run of documents. Its texts become pre-tokens with positions: the block's distinct words,
-numbered, and for each document the sequence of word numbers. Only the words are shuffled: every (word, block)
-row meets its equals, where each distinct word is encoded once, and the ids go back to their block.
-There the sequences are laid out by position again. So what is shuffled grows with the distinct words of the
+numbered, its distinct chunks (runs of words that are cut alike, such as a word and its comma) as lists of word numbers, and
+for each document the sequence of its chunks, the commoner the fewer bytes. The words are shuffled by
+hash buckets, a row for each block and bucket: in its bucket a word meets its equals and is encoded once,
+and the ids go back to the blocks. There the sequences are laid out by position again. So what is shuffled grows with the distinct words of the
 blocks, and a word that is in every text costs one row a block. Decoding joins the ids with the token-byte table, which has as
 many rows as the vocabulary and is held by every task.
 """
@@ -11,6 +12,7 @@ many rows as the vocabulary and is held by every task.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, written_by
 from .tokens import chunks, pretoken_pattern
 
-BLOCK_CHARS = 8_000_000  # a longer document is a block of its own
+BLOCK_CHARS = 5_000_000  # a longer document is a block of its own
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -32,66 +34,107 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pretoken_blocks(docs: DataFrame, pattern: str) -> DataFrame:
-    """block, words (array of distinct pre-tokens), docs (array of doc_id and its word numbers, 4 bytes each).
+def pack_numbers(x: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Numbers below 2**28 in 1 to 4 bytes, seven bits each, the high bit of all but a number's last set. Cut at ``ends``."""
+    size = 1 + (x >= 1 << 7).astype(np.int64) + (x >= 1 << 14) + (x >= 1 << 21)
+    stop = np.cumsum(size)
+    out = np.empty(int(stop[-1]) if len(stop) else 0, dtype=np.uint8)
+    for k in range(4):  # k bytes before a number's last
+        some = size > k
+        out[stop[some] - 1 - k] = ((x[some] >> (7 * k)) & 127) | (128 if k else 0)
+    cuts = np.concatenate([[0], np.concatenate([[0], stop])[ends]])
+    return [out[i:j].tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
-    A block's number is drawn from its first document and its place, so that a task run again writes the same."""
+
+def unpack_numbers(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(b, dtype=np.uint8)
+    last = np.flatnonzero(raw < 128)
+    size = np.diff(last, prepend=-1)
+    out = np.zeros(len(last), dtype=np.int64)
+    for k in range(4):
+        some = size > k
+        out[some] |= (raw[last[some] - k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
+BLOCK = "block long, words array<array<string>>, chunk_words binary, chunk_sizes binary, ids array<long>, places array<binary>"
+
+
+def pretoken_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """block, words (distinct pre-tokens by bucket; they are numbered in this order), chunk_words and chunk_sizes (each chunk's word numbers, and how many), ids
+    and places (of each document: its doc_id, and its chunks' numbers, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = pretoken_pattern(pattern)
-        schema = pa.schema([("block", pa.string()), ("words", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
         from pyspark import TaskContext
 
+        match = pretoken_pattern(pattern)
+        kinds = (pa.int64(), pa.list_(pa.list_(pa.string())), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
         part, at = TaskContext.get().partitionId(), 0
         number: dict[str, int] = {}
-        cut: dict[str, bytes] = {}
+        seen: list[int] = []
         keys: list[int | None] = []
-        places: list[bytes] = []
+        ends: list[int] = []
         chars = 0
 
-        def words_of(chunk: str) -> bytes:
-            found = [number.setdefault(w, len(number)) for w in match.findall(chunk)]
-            cut[chunk] = out = np.array(found, dtype="<u4").tobytes()
-            return out
-
         def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([f"{part}-{at}"], [list(number)], [keys], [places]), schema, strict=True)], schema=schema)
+            order = np.array(seen, dtype=np.int64)
+            common = np.argsort(-np.bincount(order, minlength=len(number)), kind="stable")  # commonest first
+            rank = np.empty(len(common), dtype=np.int64)
+            rank[common] = np.arange(len(common))
+            names = list(number)
+            cut = [match.findall(names[i]) for i in common.tolist()]
+            dealt: list[list[str]] = [[] for _ in range(buckets)]
+            for w in dict.fromkeys(w for c in cut for w in c):
+                dealt[zlib.crc32(w.encode()) % buckets].append(w)
+            word = {w: n for n, w in enumerate(w for ws in dealt for w in ws)}
+            whole = lambda xs: pack_numbers(a := np.array(xs, dtype=np.int64), np.array([len(a)]))[0]
+            values = ((part << 32) | at, dealt, whole([word[w] for c in cut for w in c]), whole([len(c) for c in cut]), keys, pack_numbers(rank[order], np.array(ends, dtype=np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = value.as_py() or ""
                 if keys and chars + len(text) > BLOCK_CHARS:
                     yield block()
-                    number, cut, keys, places, chars, at = {}, {}, [], [], 0, at + 1
-                places.append(b"".join([cut[c] if c in cut else words_of(c) for c in chunks(text, match)]))
+                    number, seen, keys, ends, chars, at = {}, [], [], [], 0, at + 1
+                seen += [number[c] if c in number else number.setdefault(c, len(number)) for c in chunks(text, match)]
+                ends.append(len(seen))
                 keys.append(key)
                 chars += len(text)
         if keys:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "block string, words array<string>, ids array<long>, places array<binary>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """words: block, n, word. Adds the ids (4 bytes each) of each word, which is encoded once in the task where its rows
-    meet: they arrive sorted by word, so that no more than one word is held."""
+    """words: block, bucket, words. The ids of the words, one after the other, and how many each has, packed. A bucket's rows
+    arrive together, each distinct word of it is encoded once, and only one bucket's words are held."""
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})._encode_single_piece
-        last, ids = None, b""
+        last, known = None, {}
         for batch in batches:
-            out = []
-            for w in batch.column(2).to_pylist():
-                if w != last:
-                    last, ids = w, np.array(encode(w.encode()), dtype="<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "n", "ids"])
-
-    met = words.repartition(parts, "word").sortWithinPartitions("word").select("block", "n", "word")
-    return met.mapInArrow(run, "block string, n int, ids binary")
+            for r in range(batch.num_rows):
+                bucket = batch.column(1)[r].as_py()
+                if bucket != last:
+                    last, known = bucket, {}
+                own = []
+                for w in batch.column(2)[r].as_py():
+                    ids = known.get(w)
+                    if ids is None:
+                        known[w] = ids = encode(w.encode())
+                    own.append(ids)
+                sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+                flat = np.fromiter((i for ids in own for i in ids), dtype=np.int64, count=int(sizes.sum()))
+                packed = [pack_numbers(x, np.array([len(x)])) for x in (sizes, flat)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), *[pa.array(x, pa.binary()) for x in packed]], ["block", "bucket", "sizes", "ids"])
+
+    met = words.repartition(parts, "bucket").sortWithinPartitions("bucket").select("block", "bucket", "words")
+    return met.mapInArrow(run, "block long, bucket int, sizes binary, ids binary")
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -99,25 +142,31 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    blocks, _ = written(pretoken_blocks(docs, pattern), "pretokens")
-    words = blocks.select("block", F.posexplode("words").alias("n", "word"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = written_by(pretoken_blocks(docs, pattern, 4 * parts), "pretokens", "block", parts)
+    words = blocks.select("block", F.posexplode("words").alias("bucket", "words")).filter(F.size("words") > 0)
     coded = encode_words(words, path, pattern)
-    known = coded.groupBy("block").agg(F.collect_list(F.struct("n", "ids")).alias("coded"))
+    known = coded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "sizes", "ids"))).alias("coded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                coded = batch.column(2)[r].values
-                own: list[bytes] = [b""] * (len(coded) if coded is not None else 0)
-                if coded is not None:
-                    for n, ids in zip(coded.field(0).to_pylist(), coded.field(1).to_pylist(), strict=True):
-                        own[n] = ids
-                keys, places = batch.column(0)[r].values, batch.column(1)[r].values
+                row = {name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)}
+                own: list[bytes] = []
+                for x in row["coded"].as_py() or ():
+                    stop = np.cumsum(4 * unpack_numbers(x["sizes"])).tolist()
+                    flat = unpack_numbers(x["ids"]).astype("<u4").tobytes()
+                    own += [flat[i:j] for i, j in zip([0, *stop], stop)]
+                words = [own[n] for n in unpack_numbers(row["chunk_words"].as_py()).tolist()]
+                stop = np.cumsum(unpack_numbers(row["chunk_sizes"].as_py())).tolist()
+                chunk = [words[j - 1] if j - i == 1 else b"".join(words[i:j]) for i, j in zip([0, *stop], stop)]
+                keys, places = row["ids"].values, row["places"].values
                 for at in range(0, len(keys), 256):
-                    out = [b"".join(map(own.__getitem__, np.frombuffer(p.as_py(), dtype="<u4").tolist())) for p in places[at : at + 256]]
+                    out = [b"".join(map(chunk.__getitem__, unpack_numbers(p.as_py()).tolist())) for p in places[at : at + 256]]
                     yield pa.RecordBatch.from_arrays([keys[at : at + 256], pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return blocks.join(known, "block", "left").select("ids", "places", "coded").mapInArrow(run, "doc_id long, ids binary")
+    rows = blocks.drop("words").join(known.hint("merge"), "block", "left").select("chunk_words", "chunk_sizes", "ids", "places", "coded")
+    return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_documents(coded: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:

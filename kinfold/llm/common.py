@@ -52,6 +52,16 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Like ``written``, but dealt into buckets by ``key``: a join on the key reads this side where it lies,
+    without another shuffle of it."""
+    spark, name = df.sparkSession, f"kinfold_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    _written.append((spark, path))
+    return spark.table(name)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a written intermediate that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
