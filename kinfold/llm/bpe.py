@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,18 +58,43 @@ def unpack_numbers(b: bytes) -> np.ndarray:
     return out
 
 
-BLOCK = "block long, words array<array<string>>, chunk_words binary, chunk_sizes binary, ids array<long>, places array<binary>"
+def pack_words(words: list[str]) -> bytes:
+    """Compressed; a byte that UTF-8 never holds divides them. No words: no bytes."""
+    return zstandard.ZstdCompressor().compress(b"\xff".join(w.encode() for w in words)) if words else b""
+
+
+def unpack_words(b: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(b).split(b"\xff") if b else []
+
+
+def pack_ids(own: list[list[int]]) -> bytes:
+    """The ids of a list of words, compressed: how many words, how many ids each, the ids."""
+    sizes = list(map(len, own))
+    flat = np.fromiter((i for x in ([len(own)], sizes, *own) for i in x), dtype=np.int64, count=1 + len(own) + sum(sizes))
+    return zstandard.ZstdCompressor().compress(pack_numbers(flat, np.array([len(flat)]))[0])
+
+
+def unpack_ids(b: bytes) -> list[bytes]:
+    """Of each word its ids, little-endian unsigned 32 bits each."""
+    x = unpack_numbers(zstandard.ZstdDecompressor().decompress(b))
+    n = int(x[0])
+    stop = np.cumsum(4 * x[1 : n + 1]).tolist()
+    flat = x[n + 1 :].astype("<u4").tobytes()
+    return [flat[i:j] for i, j in zip([0, *stop], stop)]
+
+
+BLOCK = "block long, words array<binary>, chunk_words binary, chunk_sizes binary, ids array<long>, places array<binary>"
 
 
 def pretoken_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """block, words (distinct pre-tokens by bucket; they are numbered in this order), chunk_words and chunk_sizes (each chunk's word numbers, and how many), ids
+    """block, words (distinct pre-tokens by bucket, packed; they are numbered in this order), chunk_words and chunk_sizes (each chunk's word numbers, and how many), ids
     and places (of each document: its doc_id, and its chunks' numbers, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         match = pretoken_pattern(pattern)
-        kinds = (pa.int64(), pa.list_(pa.list_(pa.string())), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+        kinds = (pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
         part, at = TaskContext.get().partitionId(), 0
         number: dict[str, int] = {}
         seen: list[int] = []
@@ -86,9 +112,11 @@ def pretoken_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             dealt: list[list[str]] = [[] for _ in range(buckets)]
             for w in dict.fromkeys(w for c in cut for w in c):
                 dealt[zlib.crc32(w.encode()) % buckets].append(w)
+            for ws in dealt:
+                ws.sort()
             word = {w: n for n, w in enumerate(w for ws in dealt for w in ws)}
             whole = lambda xs: pack_numbers(a := np.array(xs, dtype=np.int64), np.array([len(a)]))[0]
-            values = ((part << 32) | at, dealt, whole([word[w] for c in cut for w in c]), whole([len(c) for c in cut]), keys, pack_numbers(rank[order], np.array(ends, dtype=np.int64)))
+            values = ((part << 32) | at, list(map(pack_words, dealt)), whole([word[w] for c in cut for w in c]), whole([len(c) for c in cut]), keys, pack_numbers(rank[order], np.array(ends, dtype=np.int64)))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
@@ -108,7 +136,7 @@ def pretoken_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """words: block, bucket, words. The ids of the words, one after the other, and how many each has, packed. A bucket's rows
+    """words: block, bucket, words. The ids of the words, packed. A bucket's rows
     arrive together, each distinct word of it is encoded once, and only one bucket's words are held."""
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -123,18 +151,15 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
                 if bucket != last:
                     last, known = bucket, {}
                 own = []
-                for w in batch.column(2)[r].as_py():
+                for w in unpack_words(batch.column(2)[r].as_py()):
                     ids = known.get(w)
                     if ids is None:
-                        known[w] = ids = encode(w.encode())
+                        known[w] = ids = encode(w)
                     own.append(ids)
-                sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-                flat = np.fromiter((i for ids in own for i in ids), dtype=np.int64, count=int(sizes.sum()))
-                packed = [pack_numbers(x, np.array([len(x)])) for x in (sizes, flat)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), *[pa.array(x, pa.binary()) for x in packed]], ["block", "bucket", "sizes", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), pa.array([pack_ids(own)], pa.binary())], ["block", "bucket", "ids"])
 
     met = words.repartition(parts, "bucket").sortWithinPartitions("bucket").select("block", "bucket", "words")
-    return met.mapInArrow(run, "block long, bucket int, sizes binary, ids binary")
+    return met.mapInArrow(run, "block long, bucket int, ids binary")
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -144,9 +169,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = written_by(pretoken_blocks(docs, pattern, 4 * parts), "pretokens", "block", parts)
-    words = blocks.select("block", F.posexplode("words").alias("bucket", "words")).filter(F.size("words") > 0)
+    words = blocks.select("block", F.posexplode("words").alias("bucket", "words")).filter(F.length("words") > 0)
     coded = encode_words(words, path, pattern)
-    known = coded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "sizes", "ids"))).alias("coded"))
+    known = coded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("coded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +179,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                 row = {name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)}
                 own: list[bytes] = []
                 for x in row["coded"].as_py() or ():
-                    stop = np.cumsum(4 * unpack_numbers(x["sizes"])).tolist()
-                    flat = unpack_numbers(x["ids"]).astype("<u4").tobytes()
-                    own += [flat[i:j] for i, j in zip([0, *stop], stop)]
+                    own += unpack_ids(x["ids"])
                 words = [own[n] for n in unpack_numbers(row["chunk_words"].as_py()).tolist()]
                 stop = np.cumsum(unpack_numbers(row["chunk_sizes"].as_py())).tolist()
                 chunk = [words[j - 1] if j - i == 1 else b"".join(words[i:j]) for i, j in zip([0, *stop], stop)]
