@@ -162,61 +162,77 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
     return met.mapInArrow(run, "block long, bucket int, ids binary")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32 bits each) for every row. Null text counts as empty: no ids."""
-    import public_tokenizers
-
-    path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+def _coded_blocks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """chunk_words, chunk_sizes, ids, places of each block, and ``coded``: the ids of its words by bucket."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = written_by(pretoken_blocks(docs, pattern, 4 * parts), "pretokens", "block", parts)
     words = blocks.select("block", F.posexplode("words").alias("bucket", "words")).filter(F.length("words") > 0)
     coded = encode_words(words, path, pattern)
     known = coded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("coded"))
+    return blocks.drop("words").join(known.hint("merge"), "block", "left").select("chunk_words", "chunk_sizes", "ids", "places", "coded")
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks to doc_id, ids: each document's sequence by position, 256 documents at a time."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = {name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)}
+            own: list[bytes] = []
+            for x in row["coded"].as_py() or ():
+                own += unpack_ids(x["ids"])
+            words = [own[n] for n in unpack_numbers(row["chunk_words"].as_py()).tolist()]
+            stop = np.cumsum(unpack_numbers(row["chunk_sizes"].as_py())).tolist()
+            chunk = [words[j - 1] if j - i == 1 else b"".join(words[i:j]) for i, j in zip([0, *stop], stop)]
+            keys, places = row["ids"].values, row["places"].values
+            for at in range(0, len(keys), 256):
+                out = [b"".join(map(chunk.__getitem__, unpack_numbers(p.as_py()).tolist())) for p in places[at : at + 256]]
+                yield pa.RecordBatch.from_arrays([keys[at : at + 256], pa.array(out, pa.binary())], ["doc_id", "ids"])
+
+
+def _read_back(batches: Iterator[pa.RecordBatch], path: str, digest: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids to what the ids stand for, by a look-up in the token-byte table; with ``digest`` to the contract's columns."""
+    token = {n: b for b, n in ranks(path).items()}
+    decimal = {n: b"%d" % n for n in token} if digest else {}
+    for batch in batches:
+        out: list[tuple] = []
+        for x in batch.column(1):
+            ids = np.frombuffer(x.as_buffer(), dtype="<u4").tolist() if x.is_valid else []
+            decoded = b"".join(map(token.__getitem__, ids))
+            out.append((len(ids), hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest(), hashlib.sha256(decoded).hexdigest()) if digest else (decoded,))
+        kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.binary(),)
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [c.split()[0] for c in (DIGEST if digest else DECODED).split(", ")])
+
+
+DECODED = "doc_id long, decoded binary"
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _defaults(path: str | None, pattern: str | None) -> tuple[str, str]:
+    import public_tokenizers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)}
-                own: list[bytes] = []
-                for x in row["coded"].as_py() or ():
-                    own += unpack_ids(x["ids"])
-                words = [own[n] for n in unpack_numbers(row["chunk_words"].as_py()).tolist()]
-                stop = np.cumsum(unpack_numbers(row["chunk_sizes"].as_py())).tolist()
-                chunk = [words[j - 1] if j - i == 1 else b"".join(words[i:j]) for i, j in zip([0, *stop], stop)]
-                keys, places = row["ids"].values, row["places"].values
-                for at in range(0, len(keys), 256):
-                    out = [b"".join(map(chunk.__getitem__, unpack_numbers(p.as_py()).tolist())) for p in places[at : at + 256]]
-                    yield pa.RecordBatch.from_arrays([keys[at : at + 256], pa.array(out, pa.binary())], ["doc_id", "ids"])
-
-    rows = blocks.drop("words").join(known.hint("merge"), "block", "left").select("chunk_words", "chunk_sizes", "ids", "places", "coded")
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32 bits each) for every row. Null text counts as empty: no ids."""
+    return _coded_blocks(docs, *_defaults(path, pattern)).mapInArrow(_laid_out, "doc_id long, ids binary")
 
 
 def decode_documents(coded: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
     """coded: doc_id, ids. The bytes that the ids stand for: ``decoded`` (binary), by a look-up in the token-byte table.
-    With ``digest`` the contract's columns take the place of the bytes."""
-    import public_tokenizers
-
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, decoded binary"
+    With ``digest`` the contract's columns take the place of the bytes. Null ids count as none."""
+    own = _defaults(path, None)[0]
+    return coded.mapInArrow(lambda batches: _read_back(batches, own, digest), DIGEST if digest else DECODED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        token = {n: b for b, n in ranks(path).items()}
-        decimal = {n: b"%d" % n for n in token}
-        for batch in batches:
-            own = [np.frombuffer(x, dtype="<u4").tolist() for x in batch.column(1).to_pylist()]
-            decoded = [b"".join(map(token.__getitem__, ids)) for ids in own]
-            if not digest:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary())], names)
-                continue
-            said = [hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest() for ids in own]
-            back = [hashlib.sha256(b).hexdigest() for b in decoded]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(said), pa.array(back)], names)
 
-    return coded.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The contract's columns of ``decode_documents(encode_documents(docs))``, laid out and read back in one worker, so that
+    the ids needn't pass through another."""
+    own, cut = _defaults(path, pattern)
+    return _coded_blocks(docs, own, cut).mapInArrow(lambda batches: _read_back(_laid_out(batches), own, True), DIGEST)
 
 
 def op6_bpe_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
-    return decode_documents(encode_documents(table(spark, sf_dir, "documents")), digest=True)
+    return round_trip(table(spark, sf_dir, "documents"))

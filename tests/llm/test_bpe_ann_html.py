@@ -16,6 +16,13 @@ def test_numbers_round_trip():
     assert bpe.pack_numbers(x[:0], np.array([0, 0])) == [b"", b""]
 
 
+def test_words_and_ids_round_trip():
+    words = ["a", "é\n", "\0", "😀 x", "a" * 5000]
+    assert bpe.unpack_words(bpe.pack_words(words)) == [w.encode() for w in words] and bpe.unpack_words(bpe.pack_words([])) == []
+    ids = [[1], [200, 40000], list(range(300))]
+    assert [np.frombuffer(b, "<u4").tolist() for b in bpe.unpack_ids(bpe.pack_ids(ids))] == ids
+
+
 def test_encode_and_decode(spark, clashing):
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab  \n\t'sé１　x1!\x1c\x85\r😀") for _ in range(rng.randrange(80))) for _ in range(150)]
@@ -26,6 +33,7 @@ def test_encode_and_decode(spark, clashing):
     want = sorted((str(k), len(ids), digest(" ".join(map(str, ids)).encode()), digest((t or "").encode())) for k, t in docs for ids in [e.encode_ordinary(t or "")])
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.decode_documents(coded, digest=True).collect()) == want
     assert sorted(bytes(r.decoded) for r in bpe.decode_documents(coded).collect()) == sorted((t or "").encode() for _, t in docs)
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(clashing(docs)).collect()) == want
     assert bpe.encode_documents(clashing(docs).limit(0)).count() == 0
 
 
