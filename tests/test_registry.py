@@ -6,7 +6,7 @@ duckdb = pytest.importorskip("duckdb")
 import __spark_entry__ as entry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SOME = ["norm_name_key", "pair_df", "scheme_a", "scheme_b", "scheme_e", "scheme_g_low_ceiling", "fold_split", "null_summary"]
+SOME = ["norm_name_key", "pair_df", "scheme_a", "scheme_b", "scheme_e", "scheme_g_low_ceiling", "fold_split", "null_summary", "training_pairs", "threshold_sweep", "country_summary", "plain_text"]
 
 
 def tidy(v):
