@@ -5,7 +5,8 @@ ordered thresholds t0 < t1 cut its score s: P(grade <= k) = logistic(t_k - s). A
 and the tail probability P(grade >= 2), and is kept if that tail is high enough.
 
 The model is fitted on a bounded sample of labelled rows: ``PER_GRADE`` of each grade at most, those with the
-smallest hash of doc_id. Everything is scored.
+smallest hash of doc_id. As the bound changes the mix of the grades, each example counts as many times as its grade has
+labels to a sampled one. Everything is scored.
 """
 
 from __future__ import annotations
@@ -72,8 +73,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(score[:, None] - np.array(self.thresholds)[None, :], -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, seen: int = 5, strong: float = 4.0, penalty: float = 2.0, steps: int = 200) -> OrdinalModel:
-    """rows: the feature numbers of each example. Features in under ``seen`` examples, or whose counts by grade are
+def fit(rows: list[np.ndarray], grade: np.ndarray, weight: np.ndarray | None = None, *, seen: int = 5, strong: float = 4.0, penalty: float = 2.0, steps: int = 200) -> OrdinalModel:
+    """rows: the feature numbers of each example; weight: how much each counts in the likelihood, one unless said. Features in under ``seen`` examples, or whose counts by grade are
     within ``strong`` standard deviations of chance, get no weight. The rest is penalised maximum likelihood by
     gradient steps (Adam). With fewer than two grades there is nothing to learn and the untrained model comes back."""
     present = np.unique(grade)
@@ -92,6 +93,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, seen: int = 5, strong: float
     use = good[index]
     index, doc, names = column[index[use]], doc[use], names[good]
     n, k = len(rows), len(names)
+    w = np.ones(n) if weight is None else weight * (n / weight.sum())  # of mean one, so that the penalty keeps its strength
     x = np.concatenate([np.zeros(k), [-1.0, 0.7]])  # weights, first threshold, log of the step to the second
     m, v = np.zeros_like(x), np.zeros_like(x)
     rate = 0.1
@@ -102,7 +104,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, seen: int = 5, strong: float
         a, b = 1 / (1 + np.exp(np.clip(s - t0, -60, 60))), 1 / (1 + np.exp(np.clip(s - t1, -60, 60)))
         da, db = a * (1 - a), b * (1 - b)
         p = np.maximum(np.choose(grade, [a, b - a, 1 - b]), 1e-12)
-        up0, up1 = np.choose(grade, [da, -da, 0 * da]) / p, np.choose(grade, [0 * db, db, -db]) / p  # of the log-likelihood by t0, t1
+        up0, up1 = w * np.choose(grade, [da, -da, 0 * da]) / p, w * np.choose(grade, [0 * db, db, -db]) / p  # of the log-likelihood by t0, t1
         g = np.zeros_like(x)
         if k:
             g[:k] = np.bincount(index, weights=(up0 + up1)[doc], minlength=k) + penalty * x[:k]
@@ -123,9 +125,13 @@ def graded(labels: DataFrame) -> DataFrame:
     return one.select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") <= 0, 1).otherwise(2).alias("grade"))
 
 
-def examples(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of the sample: at most 3 x ``per_grade`` documents reach the driver, as feature numbers."""
+def examples(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features, grades and weights of the sample: at most 3 x ``per_grade`` documents reach the driver, as feature numbers.
+    A weight is how many labelled documents of its grade there are to a sampled one; one where the bound leaves all."""
     rated = graded(labels).join(docs.select("doc_id"), "doc_id", "left_semi")
+    share = np.ones(GRADES)
+    for r in rated.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect():
+        share[r.grade] = max(r.n / per_grade, 1.0)
     first = lambda g: rated.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
     known = first(0).unionByName(first(1)).unionByName(first(2))
     chosen = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "grade")), "doc_id")
@@ -138,12 +144,13 @@ def examples(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) ->
     got = chosen.select(F.col("text").cast("string"), F.col("grade").cast("int"), F.col("doc_id").cast("long")).mapInArrow(run, "f binary, grade int, doc_id long").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")  # the same order whatever the tasks', so the same model
     rows = [np.frombuffer(b, dtype=np.int32) for b in got["f"].to_pylist()]
-    return [rows[i] for i in order], got["grade"].to_numpy()[order]
+    grade = got["grade"].to_numpy()[order]
+    return [rows[i] for i in order], grade, share[grade]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> OrdinalModel:
-    rows, grade = examples(docs, labels, per_grade)
-    return fit(rows, grade) if rows else OrdinalModel()
+    rows, grade, weight = examples(docs, labels, per_grade)
+    return fit(rows, grade, weight) if rows else OrdinalModel()
 
 
 def score(df: DataFrame, model: OrdinalModel, keep: float = 0.5, text: str = "text") -> DataFrame:

@@ -77,3 +77,13 @@ def test_fit_recovers_an_order():
     rows = [np.array([g, 10 + int(rng.integers(0, 50))], dtype=np.int32) for g in grade]
     m = classifier.fit(rows, grade)
     assert m.weights[0] < m.weights[1] < m.weights[2] and m.thresholds[0] < m.thresholds[1]
+
+
+def test_verdicts_stay_when_the_bound_binds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fitted, held = docs.filter("doc_id % 4 <> 0"), docs.filter("doc_id % 4 = 0").join(classifier.graded(labels), "doc_id")
+    for per_grade in (3000, 300):
+        got = classifier.score(held, classifier.train(fitted, labels, per_grade)).collect()
+        share = {g: np.mean([r.kept for r in got if r.grade == g]) for g in (0, 2)}
+        assert share[2] > 0.97 and share[0] < 0.1, (per_grade, share)
