@@ -19,7 +19,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -56,16 +56,19 @@ def _fold(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long). A null text has no words and so the fingerprint zero."""
+def fingerprints(docs: DataFrame, *beside: Column) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the columns ``beside``. A null text has no words and so the fingerprint zero."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *beside)
+    names = ["doc_id", "fp", *rows.columns[2:]]
+    schema = ", ".join(["doc_id long", "fp long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fp = _fold([_shingle_hashes(t.as_py() or b"") for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, schema)
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +174,13 @@ def near_links(distinct: DataFrame, longest: int = RUN) -> DataFrame:
     return found.filter("v IS NOT NULL").unionByName(stars)
 
 
+def _placed(prints: DataFrame, first: Column) -> DataFrame:
+    """fp, first, root: each fingerprint's component and the aggregate ``first`` of its rows."""
+    distinct = prints.groupBy("fp").agg(first.alias("first"))
+    roots = connected_components(near_links(distinct.select("fp")))
+    return distinct.join(roots, distinct["fp"] == roots["id"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``: the smallest doc_id in the row's component.
 
@@ -178,9 +188,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component of such rows alone has a null component_id. Repeated rows are repeated in the
     result. An empty table gives an empty result."""
     prints, _ = written(fingerprints(docs), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(near_links(distinct.select("fp")))
-    placed = distinct.join(roots, distinct["fp"] == roots["id"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(prints, F.min("doc_id"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = placed.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -193,12 +201,17 @@ def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id. doc_id is the
-    key here: of rows that repeat one, the row with the smallest text stays. Rows without an id stay only where no row
-    of their component has one, one of them in all."""
+    """The rows of ``docs`` without near-duplicates: of each component one row, the one with the smallest doc_id. Of rows of
+    a component that repeat this id, or of those of a component without ids, the one with the smallest hash of its text
+    stays. Rows of different components don't touch each other, whatever their ids."""
     from pyspark.sql import Window
 
-    keep = near_duplicates(docs).groupBy("component_id").agg(F.min("doc_id").alias("__keep"))
-    first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    stays = docs.join(keep.select("__keep"), docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    mark = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    prints, _ = written(fingerprints(docs, mark.alias("mark")), "prints")
+    placed = _placed(prints, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")))
+    keep = placed.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.mark").alias("__own"))
+    # Equal ids and texts have one fingerprint, so each pair of them in ``keep`` stands for one component.
+    marked = docs.withColumn("__mark", mark)
+    stays = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (F.col("__mark") == F.col("__own")), "left_semi")
+    first = Window.partitionBy("doc_id", "__mark").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"])
     return stays.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)

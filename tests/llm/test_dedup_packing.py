@@ -147,3 +147,11 @@ def test_plans_hold_every_piece():
                 got[a] = got.get(a, 0) + k * times
         assert got == want
         assert sum(t for _, t in plan) <= -(-int(sizes.sum()) // 128) * 1.02 + 2
+
+
+def test_null_and_repeated_ids_lose_true_duplicates_alone(spark, clashing):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    docs = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, a), (2, d), (2, e), (3, e), (None, None), (None, "")]
+    kept = simhash.keep_one_of_each(clashing(docs)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", a), ("None", b), ("None", c), ("2", d), ("2", e), ("None", "")])
+    assert simhash.keep_one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).count() == 6
