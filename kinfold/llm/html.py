@@ -4,7 +4,7 @@ A page's tree is read into blocks of text, each with the slot it stands in: the
 siblings folded into one. A host's most frequent tree is its reference; the host's other trees are aligned
 with it by simple tree matching (the largest common tree that keeps order and ancestry), so that their slots take
 the reference's names. Over all pages of the host a slot whose text is always the same is template, one whose text
-varies is content, unless it stands in a part that pages set aside (menus, headers, footers, sidebars, notices, adverts,
+varies, or that only copies of one page have, is content, unless it stands in a part that pages set aside (menus, headers, footers, sidebars, notices, adverts,
 forms, comments). Where a tree has an article or main element, content is what stands in it, constant or not, as pages
 may carry the same article.
 
@@ -220,19 +220,20 @@ def wrappers(rows: DataFrame) -> DataFrame:
     trees = rows.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
     first = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "tree"))
     reference = trees.withColumn("__r", first).filter("__r = 1").select("host", F.col("tree").alias("reference"))
-    hashed = rows.select("host", "tree", F.explode("blocks").alias("b")).select("host", "tree", "b.slot", F.xxhash64("b.text").alias("h"))
-    seen = hashed.groupBy("host", "tree", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    page = F.xxhash64(F.transform("blocks", lambda b: b["text"]))  # pages of the same texts are copies and count once
+    hashed = rows.select("host", "tree", page.alias("p"), F.explode("blocks").alias("b")).select("host", "tree", "p", "b.slot", F.xxhash64("b.text").alias("h"))
+    seen = hashed.groupBy("host", "tree", "slot").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.min("h").alias("lo"), F.max("h").alias("hi"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(3)]
             to = [align(r, t).get(s, f"{t}\n{s}") for r, t, s in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.string()), *batch.columns[1:]], ["name", "tree", "slot", "host", "n", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.string()), *batch.columns[1:]], ["name", "tree", "slot", "host", "first", "last", "lo", "hi"])
 
-    aligned = seen.join(reference, "host").select("reference", "tree", "slot", "host", "n", "lo", "hi").mapInArrow(
-        named, "name string, tree string, slot string, host string, n long, lo long, hi long"
+    aligned = seen.join(reference, "host").select("reference", "tree", "slot", "host", "first", "last", "lo", "hi").mapInArrow(
+        named, "name string, tree string, slot string, host string, first long, last long, lo long, hi long"
     )
-    varies = aligned.groupBy("host", "name").agg(((F.min("lo") != F.max("hi")) | (F.sum("n") < 2)).alias("varies"))
+    varies = aligned.groupBy("host", "name").agg(((F.min("lo") != F.max("hi")) | (F.min("first") == F.max("last"))).alias("varies"))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

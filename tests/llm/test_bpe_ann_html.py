@@ -94,3 +94,13 @@ def test_tree_matching():
     b = "/html\n/html/body\n/html/body/nav\n/html/body/p\n/html/body/div"
     m = html.align(a, b)
     assert m["/html/body"] == "/html/body" and len(m) == 3
+
+
+def test_copies_of_one_page_are_one_page(spark):
+    page, other = ("<body><h1>%s</h1><div class='a'><p>%s</p></div><footer>f</footer></body>" % x for x in (("Head", "Body one"), ("Head", "Body two")))
+    one = [(1, "http://one.org/1", page)]
+    copies = [(k, f"http://copies.org/{k}", page) for k in (2, 3, 4)]
+    varied = [(5, "http://varied.org/5", page), (6, "http://varied.org/6", page), (7, "http://varied.org/7", other)]
+    got = texts(spark, one + copies + varied)
+    assert got[1] == got[2] == got[3] == got[4] == "Head\nBody one"
+    assert got[5] == got[6] == "Body one" and got[7] == "Body two"
