@@ -49,8 +49,9 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """What follows the host up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """What follows the host up to ``?``, ``#`` or the end. The group is atomic: a url without a path has none, whatever
+    its query holds."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def host_key(host: Column) -> Column:

@@ -113,3 +113,11 @@ def test_urls_against_brute_force(spark, clashing):
         assert (r.host, r.path, r.rule, r.verdict) == plain_verdict(r.url, rules), r.url
     assert all(r.verdict == "allow" for r in urlfilter.judge_urls(df, urlfilter.rule_table(spark, ())).collect())
     assert urlfilter.judge_urls(df.limit(0), urlfilter.rule_table(spark, rules)).count() == 0
+
+
+def test_a_query_gives_no_path(spark):
+    urls = ["https://example.org?next=https://example.com/de/x", "https://a.com#x://b/de/", "https://example.org/es/?u=http://c.com/fr/", "x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(df, urlfilter.rule_table(spark, urlfilter.CONTRACT_RULES)).collect()}
+    assert got[0] == ("example.org", "", None, "allow") and got[1] == ("a.com", "", None, "allow")
+    assert got[2] == ("example.org", "/es/", "example.org/es/", "block") and got[3] == ("", "", None, "allow")
