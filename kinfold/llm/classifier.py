@@ -26,6 +26,7 @@ PER_GRADE = 3000
 GRADES = 3
 SPACE = (1 << 26) - 1  # hashed feature numbers
 STRIP = ".,;:!?|*%$#&<>()[]{}\"'"
+MEMO = 50_000  # words of which a worker remembers the features
 
 
 def _hash(feature: str) -> int:
@@ -153,42 +154,48 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> Ord
     return fit(rows, grade, weight) if rows else OrdinalModel()
 
 
+def _scores(texts: pa.Array, model: OrdinalModel, known: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """The score of each text. ``known`` remembers the weighted features of at most ``MEMO`` words."""
+    weights = model.weights
+    out = np.zeros(len(texts))
+    for i, value in enumerate(texts):
+        t = value.as_py() or ""
+        words = t.split()
+        distinct = set(t.lower().split())
+        have = {f for f in shape_features(t, words, len(distinct)) if f in weights}
+        if len(known) > MEMO:
+            known.clear()
+        for w in distinct:
+            found = known.get(w)
+            if found is None:
+                found = tuple(f for f in word_features(w) if f in weights)
+                if len(w) <= 64:
+                    known[w] = found
+            if found:
+                have.update(found)
+        out[i] = sum(weights[f] for f in sorted(have))
+    return out
+
+
 def score(df: DataFrame, model: OrdinalModel, keep: float = 0.5, text: str = "text") -> DataFrame:
     """``df`` with expected_grade, p_toxic (P(grade = 0)), p_good (P(grade >= 2)) and kept (p_good >= ``keep``).
-    Columns of these names are replaced. A null text counts as empty."""
-    rows = df.drop("expected_grade", "p_toxic", "p_good", "kept")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", expected_grade double, p_toxic double, p_good double, kept boolean"
-    at, names = rows.columns.index(text), [*rows.columns, "expected_grade", "p_toxic", "p_good", "kept"]
+    Columns of these names are replaced. A null text counts as empty, equal texts get equal scores, rows that repeat stay,
+    an empty table gives an empty result. Only texts go to the workers and only four numbers come back: the other
+    columns stay with Spark. The function counts as not deterministic, so that a filter above runs it once."""
+    added = ("expected_grade", "p_toxic", "p_good", "kept")
     spread = df.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # as many weights as the bounded sample has strong features
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = OrdinalModel(*spread.value)
-        weights = own.weights
         known: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for i, value in enumerate(batch.column(at)):
-                t = value.as_py() or ""
-                words = t.split()
-                distinct = set(t.lower().split())
-                have = {f for f in shape_features(t, words, len(distinct)) if f in weights}
-                if len(known) > 400_000:
-                    known.clear()
-                for w in distinct:
-                    found = known.get(w)
-                    if found is None:
-                        found = tuple(f for f in word_features(w) if f in weights)
-                        if len(w) <= 64:
-                            known[w] = found
-                    if found:
-                        have.update(found)
-                scores[i] = sum(weights[f] for f in sorted(have))
-            low = own.at_most(scores)
+        for texts in batches:
+            low = own.at_most(_scores(texts, own, known))
             p_good = 1 - low[:, 1]
-            extra = [pa.array(2 - low[:, 0] - low[:, 1]), pa.array(low[:, 0]), pa.array(p_good), pa.array(p_good >= keep)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names)
+            yield pa.StructArray.from_arrays([pa.array(2 - low[:, 0] - low[:, 1]), pa.array(low[:, 0]), pa.array(p_good), pa.array(p_good >= keep)], list(added))
 
-    return rows.mapInArrow(run, schema)
+    judge = F.arrow_udf(judged, "expected_grade double, p_toxic double, p_good double, kept boolean").asNondeterministic()
+    rows = df.drop(*added)
+    return rows.withColumn("__judged", judge(F.col(text).cast("string"))).select(*rows.columns, *[F.col(f"__judged.{c}").alias(c) for c in added])
 
 
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

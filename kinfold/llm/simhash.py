@@ -6,9 +6,10 @@ wildcard. Each distinct fingerprint is indexed under its 64 variants, equal vari
 links are verified there. Copies share a fingerprint and are one row from the start, and a run yields a spanning
 forest of its verified links, so neither grows with the square of a group.
 
-A run of over ``RUN`` distinct fingerprints isn't compared pair by pair. Its members are linked over balls
-of radius one: each names itself and its 64 one-bit neighbours, and those that name the same point (65
-at most, any two within two bits) hang on the smallest. That finds exactly the links at two or fewer bits too.
+A run of over ``RUN`` distinct fingerprints isn't compared pair by pair: its members agree in one half but for a bit, so the
+other half is cut into three parts, of which two linked members share one, and members that share a part are
+searched breadth first, each against those not yet reached. A tight group is reached in a few steps. A run is
+8 bytes for each distinct fingerprint in it.
 """
 
 from __future__ import annotations
@@ -29,11 +30,6 @@ WORDS, SEED, BITS = 3, 42, 2
 RUN = 512
 
 
-def fingerprint(text: bytes) -> int:
-    """Of one text, plainly; ``fingerprints`` does the same by the batch."""
-    return int(_fold([_shingle_hashes(text)])[0])
-
-
 def _shingle_hashes(text: bytes) -> list[int]:
     words = text.lower().split()  # of bytes: A-Z alone are lowered, space and \x09-\x0D alone divide
     h = xxhash.xxh64_intdigest
@@ -43,17 +39,20 @@ def _shingle_hashes(text: bytes) -> list[int]:
     return [h(join(t), SEED) for t in zip(words, words[1:], words[2:])]
 
 
-def _fold(hashes: list[list[int]]) -> np.ndarray:
-    """Fingerprints (uint64) of lists of hashes: a bit is set if it is in over half of them; zero of none."""
-    out = np.zeros(len(hashes), dtype=np.uint64)
-    for i, own in enumerate(hashes):
-        if own:
-            a = np.array(own, dtype=np.uint64)
-            counts = np.zeros(64, dtype=np.int64)
-            for at in range(0, len(a), 65536):
-                counts += np.unpackbits(a[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(2 * counts > len(a)).view(np.uint64)[0]
-    return out
+def _fold(own: list[int]) -> int:
+    """The fingerprint of a list of hashes: a bit is set if it is in over half of them; zero of none."""
+    if not own:
+        return 0
+    a = np.array(own, dtype=np.uint64)
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(a), 8192):
+        counts += np.unpackbits(a[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(a)).view(np.uint64)[0])
+
+
+def fingerprint(text: bytes) -> int:
+    """Of one text; its hashes are folded before the next text's are made."""
+    return _fold(_shingle_hashes(text))
 
 
 def fingerprints(docs: DataFrame, *beside: Column) -> DataFrame:
@@ -65,7 +64,7 @@ def fingerprints(docs: DataFrame, *beside: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            fp = _fold([_shingle_hashes(t.as_py() or b"") for t in texts])
+            fp = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), dtype=np.uint64, count=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names)
 
     return rows.mapInArrow(run, schema)
@@ -86,18 +85,13 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, 64).view(np.int64))], ["key", "fp"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key: verified links (u, v) of each run, a spanning forest; of a run over
-    ``longest`` its members alone (v null). Holds that many rows of a run that goes over a batch's end."""
-    names = ["u", "v"]
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    held_key, held, over = None, np.empty(0, dtype=np.int64), False
-
-    def links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = fp.view(np.uint64)
-        if len(x) == 2:
-            near = np.bitwise_count(x[0] ^ x[1]) <= BITS
-            return (fp[:1], fp[1:]) if near else (fp[:0], fp[:0])
+def _links(fp: np.ndarray, key: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) of one run: a forest whose trees are the run's components at ``BITS`` or fewer differing bits."""
+    x = fp.view(np.uint64)
+    if len(x) == 2:
+        near = np.bitwise_count(x[0] ^ x[1]) <= BITS
+        return (fp[:1], fp[1:]) if near else (fp[:0], fp[:0])
+    if len(x) <= longest:
         label = np.arange(len(x))
         near = np.bitwise_count(x[:, None] ^ x[None, :]) <= BITS
         while True:  # the smallest index that each one reaches
@@ -108,70 +102,72 @@ def _verify(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Reco
             label = lower
         own = label != np.arange(len(x))
         return fp[own], fp[label[own]]
+    free = (x >> np.uint64(0 if key >> 37 & 1 else 32)) & np.uint64(0xFFFFFFFF)  # the half that the key doesn't hold
+    out = [_searched(fp, (free >> np.uint64(shift)) & np.uint64((1 << width) - 1)) for shift, width in ((0, 11), (11, 11), (22, 10))]
+    return np.concatenate([u for u, _ in out]), np.concatenate([v for _, v in out])
+
+
+def _searched(fp: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Breadth first, among members of equal ``part``: each reached one with the one it is reached from."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    us, vs = [fp[:0]], [fp[:0]]
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True):
+        rest = fp[order[a:b]]
+        while len(rest) > 1:
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                at = queue.pop()
+                near = np.bitwise_count((rest ^ at).view(np.uint64)) <= BITS
+                if near.any():
+                    found, rest = rest[near], rest[~near]
+                    us.append(found), vs.append(np.full(len(found), at))
+                    queue.extend(found)
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by key: verified links (u, v) of each run, a forest. Holds the run that goes over a batch's end."""
+    held_key, held = None, []
+
+    def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        u, v = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     for batch in batches:
         key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(key):
             continue
-        out_u, out_v, big = [], [], []
+        found = []
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-        if held_key is not None and key[0] != held_key:
-            if not over and len(held) > 1:
-                u, v = links(held)
-                out_u.append(u), out_v.append(v)
-            held, over = np.empty(0, dtype=np.int64), False
         many = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(key)))
         for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-            own = fp[a:b]
-            if a == 0 and held_key is not None and key[0] == held_key:
-                own = np.concatenate([held, own])
-            if over and a == 0:
-                big.append(own)
-                own = own[:0]
-            elif len(own) > longest:
-                big.append(own)
-                own, over_now = own[:0], True
+            if a == 0 and held_key is not None:
+                if key[0] != held_key:
+                    found.append(_links(np.concatenate(held), int(held_key), longest))
+                    held = []
+                run = held
+                run.append(np.array(fp[:b]))
             else:
-                over_now = False
+                run = [np.array(fp[a:b])]
             if b == len(key):  # the run may go on
-                held_key, held = key[-1], own
-                over = (over and a == 0) or (len(own) == 0 and b > a)
-            elif len(own) > 1:
-                u, v = links(own)
-                out_u.append(u), out_v.append(v)
-            if b != len(key) and a == 0:
-                over = False
-        u, v = np.concatenate(out_u or [fp[:0]]), np.concatenate(out_v or [fp[:0]])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names)
-        if big:
-            u = np.unique(np.concatenate(big))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64())], schema=schema)
-    if held_key is not None and not over and len(held) > 1:
-        u, v = links(held)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names)
-
-
-def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
-    for batch in batches:
-        for at in range(0, batch.num_rows, 8192):
-            fp = batch.column(0).slice(at, 8192).to_numpy().view(np.uint64)
-            point = (fp[:, None] ^ flips[None, :]).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(point.view(np.int64)), pa.array(np.repeat(fp, 65).view(np.int64))], ["point", "fp"])
+                held_key, held = key[-1], run
+            elif sum(map(len, run)) > 1:
+                found.append(_links(np.concatenate(run), int(key[a]), longest))
+        if found:
+            yield batch_of(found)
+    if held_key is not None and sum(map(len, held)) > 1:
+        yield batch_of([_links(np.concatenate(held), int(held_key), longest)])
 
 
 def near_links(distinct: DataFrame, longest: int = RUN) -> DataFrame:
     """distinct: fp, no repeats. Links (u, v) whose components are those of all pairs within two bits."""
-    spark = distinct.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = distinct.select("fp").mapInArrow(_variants, "key long, fp long").repartition(parts, "key").sortWithinPartitions("key", "fp")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.select("fp").repartition(parts, "fp")  # few bytes that become 64 times as many: so many tasks whatever the size
+    sorted_ = spread.mapInArrow(_variants, "key long, fp long").repartition(parts, "key").sortWithinPartitions("key", "fp")
     found, _ = written(sorted_.mapInArrow(partial(_verify, longest=longest), "u long, v long"), "found")
-    large = found.filter("v IS NULL").select(F.col("u").alias("fp")).distinct()
-    points = large.mapInArrow(_balls, "point long, fp long")
-    hubs = points.groupBy("point").agg(F.min("fp").alias("hub"))
-    stars = points.join(hubs, "point").filter("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
-    return found.filter("v IS NOT NULL").unionByName(stars)
+    return found
 
 
 def _placed(prints: DataFrame, first: Column) -> DataFrame:
