@@ -1,17 +1,22 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
 Documents become pieces of at most ``capacity`` tokens. The driver sees the histogram of piece lengths alone (at
-most ``capacity`` rows). There a configuration is a multiset of lengths that fits one sequence; multiplicative
-weights raise the price of lengths whose share is still uncovered, a knapsack dynamic program finds
-the configuration of the highest price, and it is taken in whole multiples. What the steps leave is filled best fit
-decreasing, again by configurations. The plan that comes back says which ranks of which
-length go where; it has at most (configurations x distinct lengths in each) rows, whatever the corpus.
+most ``capacity`` rows). A configuration is a multiset of length classes that fills one sequence; the program asks for the least
+sum of multiplicities x that covers every class's pieces. It is solved by multiplicative weights: in each round a knapsack dynamic program
+finds the configuration of the highest price, which gets an equal share of the mass, and the price of a class falls by a factor for each piece
+of it that is covered ahead of the others. The prices' average is the dual solution, which bounds the number of sequences from below.
+
+Rounding takes x down to whole numbers and puts lengths in place of classes, the last two of a sequence so that they fill it exactly if
+any two left do; the program is solved again for what is left, a few times, and best fit decreasing places the remainder. The plan that
+comes back says which ranks of which length go where; it has at most (configurations x distinct lengths in each) rows, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,77 +27,184 @@ from .common import gapless, table, written
 from .tokens import ChunkEncoder, rank_encoder
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
+CLASSES = 64  # length classes of a full sequence; up to twice that capacity every length is a class of its own
+ROUNDS = 1500  # of the multiplicative weights, at most
+RATE = 10.0  # by how much a price falls (in the logarithm) for a class that is covered as often again
+SOLVES = 8  # how often the program is solved, at most; best fit takes what is left then
+NEAR = 4  # classes that the last two lengths of a sequence may stray
 
 
-def _knapsack(price: np.ndarray, capacity: int) -> Config:
-    """The multiset of lengths (prices by length; 0: not to be had) of the highest price."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    lengths = np.flatnonzero(price > 0)
-    worth = price[lengths]
+def _knapsack(price: np.ndarray, size: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """How many of each size (ascending) the multiset of the highest price has, and that price."""
+    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
+    upto = np.searchsorted(size, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        k = np.searchsorted(lengths, c, side="right")
-        if k:
-            total = worth[:k] + best[c - lengths[:k]]
+        best[c] = best[c - 1]
+        if upto[c]:
+            total = price[: upto[c]] + best[c - size[: upto[c]]]
             j = int(total.argmax())
-            if total[j] > best[c - 1]:
-                best[c], take[c] = total[j], lengths[j]
-                continue
-        best[c], take[c] = best[c - 1], 0
-    c, out = capacity, {}
+            if total[j] > best[c]:
+                best[c], take[c] = total[j], j
+    out, c = np.zeros(len(size), dtype=np.int64), capacity
     while c > 0:
-        n = int(take[c])
-        if n:
-            out[n] = out.get(n, 0) + 1
-            c -= n
-        else:
+        if take[c] < 0:
             c -= 1
-    return tuple(sorted(out.items(), reverse=True))
-
-
-def configurations(histogram: dict[int, int], capacity: int, steps: int = 200, rate: float = 0.3, least: int = 16) -> list[tuple[Config, int]]:
-    """(configuration, multiplicity) that together hold exactly the pieces of the histogram.
-
-    Each of ``steps`` rounds prices the lengths that still have ``least`` pieces (a length's price rises with
-    its uncovered share, and a little faster than its size, so that short pieces are kept for filling), finds the
-    dearest configuration and takes half of its possible multiplicity, rounded down. What rounding leaves is
-    filled best fit decreasing. Should best fit alone need fewer sequences, its plan stands."""
-    plans = [_plan(histogram, capacity, n, rate, least) for n in (steps, 0)]
-    return min(plans, key=lambda plan: sum(times for _, times in plan))
-
-
-def _plan(histogram: dict[int, int], capacity: int, steps: int, rate: float, least: int) -> list[tuple[Config, int]]:
-    count = np.zeros(capacity + 1, dtype=np.int64)
+        else:
+            out[take[c]] += 1
+            c -= size[take[c]]
+    return out, float(best[capacity])
+
+
+def fractional(need: np.ndarray, size: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, float]], tuple[np.ndarray, ...]]:
+    """Multiplicative weights for: least sum of x with sum x_c a_cj >= need_j. The configurations with their x, largest
+    first, and the prices (scaled so that no configuration costs over 1 by the price that chose it), averaged over all rounds, the
+    latter half and the last eighth."""
+    step = float((need * size).sum()) / capacity / rounds
+    cover, since = np.zeros(len(need)), (0, rounds // 2, rounds - rounds // 8 - 1)
+    duals = tuple(np.zeros(len(need)) for _ in since)
+    x: dict[bytes, float] = {}
+    for t in range(1, rounds + 1):
+        price = size * np.exp(np.clip(RATE * (t / rounds - cover / need), -30, 30))
+        own, worth = _knapsack(price, size, capacity)
+        for dual, first in zip(duals, since, strict=True):
+            if t > first:
+                dual += price / worth / (rounds - first)
+        x[own.tobytes()] = x.get(own.tobytes(), 0.0) + step
+        cover += step * own
+    ranked = sorted(x.items(), key=lambda kv: (-kv[1], kv[0]))
+    return [(np.frombuffer(k, dtype=np.int64), v) for k, v in ranked], duals
+
+
+@dataclass(frozen=True)
+class Packing:
+    """``plan``: (configuration of lengths, multiplicity), exactly the pieces of the histogram. ``bound``: no packing has fewer sequences,
+    by the averaged prices or by the sum of lengths. ``rounded``: sequences that rounding the program made, full-length pieces left out."""
+
+    plan: list[tuple[Config, int]]
+    bound: int
+    rounded: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(times for _, times in self.plan)
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int) -> Packing:
+    """The whole plan. Equal input gives the same plan; an empty histogram an empty one."""
+    left = np.zeros(capacity + 1, dtype=np.int64)
     for n, k in histogram.items():
-        count[n] = k
-    left, out = count.copy(), {}
+        left[n] = k
+    plan: dict[Config, int] = {}
 
-    def use(config: Config, times: int) -> None:
-        for n, k in config:
+    def use(config: dict[int, int], times: int) -> None:
+        for n, k in config.items():
             left[n] -= k * times
-        out[config] = out.get(config, 0) + times
-
-    if left[capacity]:
-        use(((capacity, 1),), int(left[capacity]))
-    size = np.arange(capacity + 1, dtype=float) ** 1.1
-    for _ in range(steps):
-        some = left >= least
-        if not some.any():
+        key = tuple(sorted(config.items(), reverse=True))
+        plan[key] = plan.get(key, 0) + times
+
+    lengths = np.flatnonzero(left)
+    bound = -(-int((lengths * left[lengths]).sum()) // capacity)
+    if left[capacity]:  # each is a sequence by itself
+        use({capacity: 1}, int(left[capacity]))
+    width = max(1, capacity // CLASSES)
+    of = np.maximum(1, (np.arange(capacity + 1) + width // 2) // width)  # a length's class is the nearest multiple of the width
+    rounded = 0
+    for solve in range(SOLVES):
+        have = np.flatnonzero(left)
+        if not len(have):
             break
-        share = left / np.maximum(count, 1)
-        config = _knapsack(np.where(some, size * np.exp(rate * (share - share[some].mean())), 0.0), capacity)
-        times = min(int(left[n]) // k for n, k in config) // 2
-        if times == 0:  # it wants more of a length than there is
+        size, at = np.unique(of[have], return_inverse=True)
+        need = np.bincount(at, weights=left[have])
+        total = float((need * size).sum()) * width / capacity
+        found, duals = fractional(need, size, capacity // width, int(min(ROUNDS, max(100, 4 * total))))
+        if solve == 0:  # the dual prices of all lengths but the full ones, which are priced 1
+            for by_length in (dual[at] for dual in duals):
+                _, most = _knapsack(by_length, have, capacity)
+                own = histogram.get(capacity, 0) + float((by_length * left[have]).sum()) / max(most, 1e-12)
+                bound = max(bound, int(np.ceil(own - 1e-6)))
+        took = 0
+        for counts, x in found:
+            times = int(x + 1e-9)
+            if times == 0 and took:
+                break
+            took += _instantiate(np.repeat(size, counts)[::-1].tolist(), max(1, times), left, width, use)
+        rounded += took
+        if not took:
             break
-        use(config, times)
-    while True:  # each round uses up a length, or all it can of the fullest fit
-        room, config = capacity, {}
-        for n in np.flatnonzero(left)[::-1].tolist():
-            if n <= room:
-                config[n] = min(room // n, int(left[n]))
-                room -= n * config[n]
+    while True:  # best fit decreasing: each round uses up a length, or all it can of the fullest fit
+        config = _filled({}, left, capacity)
         if not config:
-            return list(out.items())
-        use(tuple(config.items()), min(int(left[n]) // k for n, k in config.items()))
+            return Packing(list(plan.items()), bound, rounded)
+        use(config, _multiplicity(config, left))
+
+
+def _filled(config: dict[int, int], left: np.ndarray, room: int) -> dict[int, int]:
+    """``config`` and the longest pieces left that fit its room, longest first."""
+    for n in np.flatnonzero(left[: room + 1])[::-1].tolist():
+        k = min(room // n, int(left[n]) - config.get(n, 0))
+        if k > 0:
+            config[n] = config.get(n, 0) + k
+            room -= n * k
+    return config
+
+
+def _multiplicity(config: dict[int, int], left: np.ndarray) -> int:
+    return min(int(left[n]) // k for n, k in config.items())
+
+
+def _instantiate(classes: list[int], times: int, left: np.ndarray, width: int, use) -> int:
+    """Sequences of a configuration of classes, longest first, ``times`` at most: lengths of the classes take their place, the commonest
+    first, the last two so that they fill the room to the end, or else the longest that fits. What room is left takes best fit."""
+    capacity, done = len(left) - 1, 0
+
+    def span(c: int, stray: int = 0) -> tuple[int, int]:
+        return max(1, c * width - width // 2 - stray), min(capacity, c * width + (width - 1) // 2 + stray)
+
+    while done < times:
+        config: Counter[int] = Counter()
+        room, todo = capacity, list(classes)
+
+        def free(lo: int, hi: int) -> np.ndarray:
+            out = left[lo : hi + 1].copy()
+            for n, k in config.items():
+                if lo <= n <= hi:
+                    out[n - lo] -= k
+            return out
+
+        while todo:
+            if len(todo) == 2:
+                (lo, hi), (lo2, hi2) = (span(c, NEAR * width) for c in todo)
+                a = np.arange(lo, min(hi, room) + 1)
+                b = room - a
+                ok = (b >= lo2) & (b <= hi2)
+                if ok.any():
+                    first, second = free(lo, min(hi, room)), free(lo2, hi2)
+                    both = np.zeros(len(a), dtype=np.int64)
+                    both[ok] = np.where(a[ok] == b[ok], first[ok] // 2, np.minimum(first[ok], second[b[ok] - lo2]))
+                    j = int(both.argmax())
+                    if both[j] > 0:
+                        config[int(a[j])] += 1
+                        config[int(b[j])] += 1
+                        room, todo = 0, []
+                        break
+            lo, hi = span(todo.pop(0))
+            have = free(lo, min(hi, room)) if lo <= room else np.zeros(0, dtype=np.int64)
+            good = np.flatnonzero(have > 0)
+            if not len(good):  # the class is used up
+                return done
+            n = lo + int(good[have[good].argmax()] if todo else good[-1])
+            config[n] += 1
+            room -= n
+        whole = _filled(dict(config), left, room)
+        now = min(times - done, _multiplicity(whole, left))
+        use(whole, now)
+        done += now
+    return done
+
+
+def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
+    """(configuration, multiplicity) that together hold exactly the pieces of the histogram."""
+    return pack_histogram(histogram, capacity).plan
 
 
 def placement(plan: list[tuple[Config, int]], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:
@@ -145,7 +257,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
 
 def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, and nothing more).
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32; other columns are left out).
 
     Equal pieces are interchangeable; no two overlap, offsets are gapless from 0. An empty table gives an
     empty result."""
@@ -174,7 +286,9 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048) -> DataFrame:
-    """Pieces of every document with their places."""
+    """Pieces of every document with their places (see ``pieces`` and ``pack``); doc_id and text are read, other columns left out,
+    whatever their names. Null text counts as empty. Rows that repeat, and rows without doc_id, are packed each for itself; texts
+    of any length are cut, none is dropped. Among equal lengths (doc_id, piece, start, checksum) decides who goes first. An empty table gives an empty result."""
     import public_tokenizers
 
     return pack(pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity), capacity)

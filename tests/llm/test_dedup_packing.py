@@ -134,19 +134,70 @@ def test_packing(spark, clashing):
     assert len(twice) == 3 and len({(r.sequence_id, r.offset) for r in twice}) == 3
 
 
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying every place of each piece, longest first."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for r in sorted({r for r in rooms if r >= sizes[i]}):
+            j = rooms.index(r)
+            place(i + 1, rooms[:j] + [r - sizes[i]] + rooms[j + 1 :])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def held(plan, capacity):
+    got = {}
+    for config, times in plan:
+        assert sum(a * k for a, k in config) <= capacity and times > 0
+        for a, k in config:
+            got[a] = got.get(a, 0) + k * times
+    return got
+
+
 def test_plans_hold_every_piece():
     rng = np.random.default_rng(0)
     for n in (0, 1, 40, 3000):
         sizes = np.minimum(128, rng.lognormal(3, 1, n).astype(int) + 1)
         want = {int(a): int(b) for a, b in zip(*np.unique(sizes, return_counts=True))}
-        plan = packing.configurations(want, 128)
-        got = {}
-        for config, times in plan:
-            assert sum(a * k for a, k in config) <= 128 and times > 0
-            for a, k in config:
-                got[a] = got.get(a, 0) + k * times
-        assert got == want
-        assert sum(t for _, t in plan) <= -(-int(sizes.sum()) // 128) * 1.02 + 2
+        found = packing.pack_histogram(want, 128)
+        assert held(found.plan, 128) == want
+        assert found.bound <= found.sequences <= found.bound + len(found.plan)
+        assert found.sequences <= -(-int(sizes.sum()) // 128) * 1.02 + 2
+
+
+def test_small_plans_are_the_best():
+    rng = random.Random(6)
+    missed = 0
+    for _ in range(120):
+        capacity = rng.choice([10, 20, 50])
+        sizes = [rng.randrange(1, capacity + 1 if rng.random() < 0.3 else capacity // 2 + 1) for _ in range(rng.randrange(1, 10))]
+        found = packing.pack_histogram({n: sizes.count(n) for n in sizes}, capacity)
+        best = fewest(sizes, capacity)
+        assert found.bound <= best
+        missed += found.sequences > best
+    assert missed == 0
+
+
+def test_the_program_makes_the_plan():
+    """On many pieces rounding the program makes nearly all sequences, at most one a configuration above the bound."""
+    rng = np.random.default_rng(4)
+    sizes = np.minimum(2048, rng.lognormal(6, 1, 60000).astype(int) + 1)
+    want = {int(a): int(b) for a, b in zip(*np.unique(sizes, return_counts=True))}
+    found = packing.pack_histogram(want, 2048)
+    assert held(found.plan, 2048) == want
+    assert found.rounded > 0.95 * (found.sequences - want.get(2048, 0))
+    assert found.bound <= found.sequences <= found.bound * 1.002 + 1
+    # two thirds and over a half: no two of them share a sequence, so the sum of lengths bounds badly and the prices bound well
+    odd = packing.pack_histogram({1366: 300, 1056: 200, 600: 100}, 2048)
+    assert odd.bound >= 495 and odd.sequences == 500
 
 
 def test_null_and_repeated_ids_lose_true_duplicates_alone(spark, clashing):
