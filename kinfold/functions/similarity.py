@@ -51,16 +51,27 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The shorter string against every window of the longer, cut windows at its ends too."""
+    """The shorter string against every window of the longer, cut windows at its ends too. A window is measured only if the
+    letters it shares with the shorter string, counted as it slides, could make it the best."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 0.0
     n, best = len(a), 0.0
+    spare = {ch: a.count(ch) for ch in set(a)}  # of each letter: how many the window still lacks
+    common = 0
     for i in range(1 - n, len(b)):
-        window = b[max(0, i) : i + n]
-        if 2 * min(n, len(window)) / (n + len(window)) > best:
-            best = max(best, ratio(a, window))
+        if i + n <= len(b):  # the letter that comes in
+            ch = b[i + n - 1]
+            if ch in spare:
+                common += spare[ch] > 0
+                spare[ch] -= 1
+        if i > 0 and b[i - 1] in spare:  # the one that goes out
+            spare[b[i - 1]] += 1
+            common -= spare[b[i - 1]] > 0
+        size = min(i + n, len(b)) - max(0, i)
+        if 2 * common > best * (n + size):
+            best = max(best, ratio(a, b[max(0, i) : i + n]))
     return best
 
 
@@ -91,11 +102,17 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
 SCORES = {f.__name__: f for f in (ratio, prefix_ratio, token_sort_ratio, token_set_ratio, partial_ratio, jaro_winkler)}
 
 
-def score(name: str, a: Column, b: Column) -> Column:
-    """A score of two string columns by name; null counts as empty."""
-    of = SCORES[name]
+def scores(named: dict[str, str], a: Column, b: Column) -> Column:
+    """A struct of scores (field: score) of two string columns, in one pass over them; null counts as empty."""
+    of = {field: SCORES[name] for field, name in named.items()}
+
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        pairs = [(p or "", q or "") for p, q in zip(x, y, strict=True)]
+        return pd.DataFrame({field: [f(p, q) for p, q in pairs] for field, f in of.items()}, dtype="float64")
 
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([of(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
+    return F.pandas_udf(run, ST.StructType([ST.StructField(field, ST.DoubleType()) for field in named]))(a, b)
 
-    return F.pandas_udf(run, ST.DoubleType())(a, b)
+
+def score(name: str, a: Column, b: Column) -> Column:
+    """One score by name."""
+    return scores({name: name}, a, b)[name]

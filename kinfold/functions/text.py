@@ -40,9 +40,7 @@ def squash(tokens: Column) -> Column:
 
 def consonants(token: Column) -> Column:
     """The blocking skeleton: sh to s, ph to f, c to k, vowels dropped."""
-    for pattern, to in (("sh", "s"), ("ph", "f"), ("c", "k"), ("[aeiou]", "")):
-        token = F.regexp_replace(token, pattern, to)
-    return token
+    return F.translate(F.replace(F.replace(token, F.lit("sh"), F.lit("s")), F.lit("ph"), F.lit("f")), "caeiou", "k")
 
 
 # The sound-alike rules, in order.
@@ -75,6 +73,24 @@ def bucket(key: Column, n: int, salt: str = "") -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
+# English words that n-gram counts leave out.
+STOP_WORDS = ("and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+
+
+def word_ngrams(tokens: Column, hi: int = 2, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Runs of 1 to ``hi`` words, joined by a space; stop words are taken out first."""
+    def of(n: int, kept: Column) -> Column:
+        last = F.size(kept) - (n - 1)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(kept, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    kept = without(tokens, stop)
+    return F.flatten(F.transform(F.array(kept), lambda k: F.flatten(F.array(*[of(n, k) for n in range(1, hi + 1)]))))
+
+
+# Words that the second prototype cleaner respells.
+PROTOTYPE_FORMS = {"corporation": "corp", "private": "pvt", "limited": "ltd", "incorporated": "inc", "rd": "road", "st": "street"}
+
+
 def char_ngrams(token: Column, lo: int, hi: int) -> Column:
     """Character n-grams of a word padded by a space on each side, of lo to hi letters."""
     padded = F.concat(F.lit(" "), token, F.lit(" "))

@@ -66,8 +66,7 @@ def rarest(keys: DataFrame, stats: DataFrame, n: int, ceiling: int | None = None
 
 def numbers() -> Column:
     """Up to three address numbers and the postcode, which may be a house number too."""
-    first = F.slice("addr_nums", 1, 3)
-    return F.when(F.col("postcode") != "", F.array_append(first, F.col("postcode"))).otherwise(first)
+    return F.concat(F.slice("addr_nums", 1, 3), F.filter(F.array("postcode"), lambda x: x != ""))
 
 
 class Index:
@@ -152,25 +151,32 @@ class Index:
             cap = {"g": k.g_cap, "h": k.h_cap}.get(name, k.scheme_cap)
             return self.scored(self.queries(s1)[name], keys, cap, 2 if name == "e" else 1)
         zero = F.lit(0).cast("long").alias("idf_score")
-        if name == "a":
-            left = s1.filter("name_key <> ''").select(F.col("entity_id").alias("s1_id"), "country", "name_key", F.col("postcode").alias("sp"))
-            both = left.join(self.pool.select(F.col("entity_id").alias("cand_id"), "country", "name_key", "postcode"), ["country", "name_key"])
-            rank = Window.partitionBy("s1_id").orderBy(F.desc((F.col("postcode") != "") & (F.col("postcode") == F.col("sp"))), "cand_id")
-        elif name == "a2":
-            squashed = lambda df, to: df.select(F.col("entity_id").alias(to), "country", T.squash(F.col("name_tokens")).alias("q")).filter(F.length("q") >= 4)
-            both = squashed(s1, "s1_id").join(squashed(self.pool, "cand_id"), ["country", "q"])
-            rank = Window.partitionBy("s1_id").orderBy("cand_id")
-        elif name == "d":
+        if name == "d":
             by_post = lambda df, to: df.filter("postcode <> ''").select(F.col("entity_id").alias(to), "country", "postcode", F.explode("name_tokens").alias("key"))
             hits = by_post(s1, "s1_id").join(by_post(self.pool, "cand_id"), ["country", "postcode", "key"])
             counts = hits.groupBy("s1_id", "cand_id").agg(F.count(F.lit(1)).cast("int").alias("shared"))
             rank = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("shared"), "cand_id"))
             return counts.select("s1_id", "cand_id", zero, "shared", rank.alias("rk"))
-        else:
+        if name not in ("a", "a2"):
             raise ValueError(name)
-        ranked = both.withColumn("rk", F.row_number().over(rank)).filter(F.col("rk") <= k.key_cap)
+        key = F.col("name_key") if name == "a" else T.squash(F.col("name_tokens"))
+        keyed = lambda df, to: df.select(F.col("entity_id").alias(to), "country", key.alias("key"), "postcode").filter(F.length("key") >= (1 if name == "a" else 4))
+        left, right = keyed(s1, "s1_id"), keyed(self.pool, "cand_id")
+        found = left.select("s1_id", "country", "key").join(self._leading(right, "country", "key"), ["country", "key"]).select("s1_id", "cand_id", F.lit(1).alias("other"))
+        if name == "a":  # records of the same postcode come before the others
+            near = self._leading(right.filter("postcode <> ''"), "country", "key", "postcode")
+            same = left.join(near, ["country", "key", "postcode"]).select("s1_id", "cand_id", F.lit(0).alias("other"))
+            found = found.unionByName(same).groupBy("s1_id", "cand_id").agg(F.min("other").alias("other"))
+        rank = F.row_number().over(Window.partitionBy("s1_id").orderBy("other", "cand_id"))
+        ranked = found.withColumn("rk", rank).filter(F.col("rk") <= k.key_cap)
         return ranked.select("s1_id", "cand_id", zero, F.lit(0).alias("shared"), "rk")
 
+    def _leading(self, pool: DataFrame, *by: str) -> DataFrame:
+        """The pool records of each key that can be among the first ``key_cap`` of any reference record: as ties go by cand_id, those with the smallest. Spark
+        limits each key before its shuffle, so a key that many share is no larger join than another."""
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("cand_id"))
+        return pool.withColumn("__rk", rank).filter(F.col("__rk") <= self.knobs.key_cap).select(*by, "cand_id")
+
     def estimates(self, s1: DataFrame) -> DataFrame:
         """scheme, pairs: the exact size of each scheme's join, before it is run."""
         parts = [q.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).select(F.lit(n).alias("scheme"), "pairs") for n, q in self.queries(s1).items()]
@@ -250,6 +256,18 @@ def report(candidates: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
     )
 
 
+def verdict(recall: DataFrame, at: float = 0.9) -> DataFrame:
+    """Adds ``limited_by``: ``generation`` if too few true pairs are made at all, else ``ranking``. recall: of ``recall_at``."""
+    return recall.withColumn("limited_by", F.when(F.col("generated") < at * F.col("n_true"), "generation").otherwise("ranking"))
+
+
+def exact_pairs(s1: DataFrame, pool: DataFrame, column: str, cap: int = 300) -> DataFrame:
+    """s1_id, cand_id: pairs of a country that agree in ``column`` (not empty); of a value's pool records the ``cap`` smallest ids."""
+    rank = F.row_number().over(Window.partitionBy("country", column).orderBy("entity_id"))
+    right = pool.filter(F.col(column) != "").withColumn("__rk", rank).filter(F.col("__rk") <= cap).select("country", column, F.col("entity_id").alias("cand_id"))
+    return s1.select(F.col("entity_id").alias("s1_id"), "country", column).join(right, ["country", column]).select("s1_id", "cand_id")
+
+
 def misses(pairs: DataFrame, truth: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
     """True pairs that no scheme made, with the tokens they share and whether an address number would have shown them."""
     gone = truth.join(pairs.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti")

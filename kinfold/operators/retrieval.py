@@ -91,6 +91,40 @@ def with_ann(pairs: DataFrame, ann: DataFrame, candidates: DataFrame, k: int) ->
     }
 
 
+def with_original(rows: DataFrame, ann: DataFrame) -> DataFrame:
+    """Adds o_score, o_rank and o_gap: what a second encoder's search says of each pair (null outside its list; the gap is to the
+    best of the record's list). rows: s1_id, cand_id, ...; ann: s1_id, cand_id, ann_score, ann_rank."""
+    ids = ["s1_id", "cand_id"]
+    top = ann.groupBy("s1_id").agg(F.max("ann_score").alias("__top"))
+    own = ann.select(*ids, F.col("ann_score").alias("o_score"), F.col("ann_rank").alias("o_rank"))
+    return rows.join(own, ids, "left").join(top, "s1_id", "left").withColumn("o_gap", F.col("__top") - F.col("o_score")).drop("__top").select(*rows.columns, "o_score", "o_rank", "o_gap")
+
+
+def recall_of(ann: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 10)) -> DataFrame:
+    """One row: n (records with a match) and recall_k, the share of them with a match among their k nearest."""
+    best = truth.join(ann.select("s1_id", "cand_id", "ann_rank"), ["s1_id", "cand_id"], "left").groupBy("s1_id").agg(F.min("ann_rank").alias("r"))
+    return best.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg((F.coalesce("r", F.lit(1 << 30)) <= k).cast("double")), 6).alias(f"recall_{k}") for k in ks])
+
+
+def gate_report(truth: DataFrame, blocked: DataFrame, ann: DataFrame, k: int, ids: DataFrame) -> DataFrame:
+    """source (blocked, retrieved, either), pairs, found, recall and ceiling_f05 (macro F0.5 of a perfect choice among the pairs), and for ``either`` how many
+    pairs retrieval adds. ids: s1_id of all records."""
+    pair = ["s1_id", "cand_id"]
+    near = ann.filter(F.col("ann_rank") <= k).select(*pair)
+    added = near.join(blocked.select(*pair), pair, "left_anti")
+    rows = None
+    for name, pairs in (("blocked", blocked.select(*pair).distinct()), ("retrieved", near.distinct()), ("either", blocked.select(*pair).unionByName(near).distinct())):
+        hits = truth.join(pairs, pair, "left_semi").groupBy("s1_id").agg(F.count(F.lit(1)).alias("h"))
+        each = ids.join(truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("m")), "s1_id", "left").join(hits, "s1_id", "left").na.fill(0, ["m", "h"])
+        ceiling = F.when(F.col("m") == 0, 1.0).when(F.col("h") == 0, 0.0).otherwise(1.25 * F.col("h") / (F.col("h") + 0.25 * F.col("m")))
+        own = each.agg(F.sum("h").alias("found"), F.round(F.sum("h") / F.nullif(F.sum("m"), F.lit(0)), 6).alias("recall"), F.round(F.avg(ceiling), 6).alias("ceiling_f05"))
+        n = pairs.agg(F.count(F.lit(1)).alias("pairs"))
+        extra = added.agg(F.count(F.lit(1)).alias("added")) if name == "either" else added.sparkSession.range(1).select(F.lit(0).cast("long").alias("added"))
+        row = own.crossJoin(n).crossJoin(extra).select(F.lit(name).alias("source"), "pairs", "found", "recall", "ceiling_f05", "added")  # one row each
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 def gate(truth: DataFrame, blocked: DataFrame, ann: DataFrame, k: int) -> DataFrame:
     """One row: true pairs found by blocking, by retrieval, by both, by either."""
     ids = ["s1_id", "cand_id"]

@@ -64,3 +64,25 @@ def country_summary(chosen: DataFrame, s1: DataFrame) -> DataFrame:
 def plain_text(text: Column) -> Column:
     """Accents off, lower case, everything but letters and digits one space."""
     return F.trim(F.regexp_replace(F.translate(F.lower(text), T.ACCENTED, T.PLAIN), "[^a-z0-9]+", " "))
+
+
+def suffixed_text(text: Column) -> Column:
+    """The same with the usual words for legal forms and streets in one spelling; an ampersand between letters is ``and``."""
+    plain = F.regexp_replace(F.translate(F.lower(text), T.ACCENTED, T.PLAIN), r"(?<=[a-z0-9_])&(?:amp;)?(?=[a-z0-9_])", " and ")
+    known = F.create_map(*[F.lit(x) for pair in T.PROTOTYPE_FORMS.items() for x in pair])
+    return F.trim(F.regexp_replace(F.array_join(F.transform(F.split(plain, "[^a-z0-9]+"), lambda w: F.coalesce(F.try_element_at(known, w), w)), " "), " +", " "))
+
+
+def sample_rows(df: DataFrame, n: int, key: str, salt: str = "sample") -> DataFrame:
+    """n rows, the same on every run: those with the smallest hash of ``key``. A bounded sort, no full one."""
+    return df.orderBy(F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), key).limit(n)
+
+
+def country_batches(pairs: DataFrame, countries: DataFrame, size: int, salt: str = "batch") -> DataFrame:
+    """Adds country, batch and place: training pairs in batches of one country each, in an order that is the same on every run. The last batch of a
+    country is left out if it isn't full. pairs: s1_id, cand_id; countries: s1_id, country."""
+    order = Window.partitionBy("country").orderBy(_shuffled(salt), "cand_id")
+    dealt = pairs.join(countries, "s1_id").withColumn("at", F.row_number().over(order) - 1)
+    n = F.count(F.lit(1)).over(Window.partitionBy("country", "batch"))
+    dealt = dealt.withColumn("batch", F.floor(F.col("at") / size).cast("int")).withColumn("place", (F.col("at") % size).cast("int"))
+    return dealt.withColumn("n", n).filter(F.col("n") == size).select("country", "batch", "place", *PAIR)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 PAIR = ["s1_id", "cand_id"]
 CAP = 30  # pairs of a record that the exact cut weighs
 
@@ -76,11 +78,7 @@ def repair(probs: DataFrame, select=select_exact, rounds: int = 5, mode: str = "
 
     ``accumulate``: removed claims stay removed, and only records that lost one choose again. ``restart``: each round
     chooses from the full list without that round's losers. Every round is checkpointed; the driver sees one count."""
-    spark = probs.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinfold-"))  # a local session; a cluster names its own
+    shared_dir(probs.sparkSession)  # sets a folder for checkpoints in a local session; a cluster names its own
     left, chosen = probs, select(probs)
     for _ in range(rounds):
         chosen = chosen.checkpoint()

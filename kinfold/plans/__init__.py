@@ -1,3 +1,3 @@
 """Fixtures over the test tables, and the query registry."""
 
-from . import queries, reports  # noqa: F401  (reports adds to the registry of queries)
+from . import queries, reports, stage0, more  # noqa: F401, I001  (the last three add to the registry of queries)

@@ -12,7 +12,7 @@ from ..operators import blocking as B
 from ..operators import features as X
 from ..operators import retrieval as R
 from ..operators import selection as S
-from ..session import table
+from ..session import discard, table, written
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None, low: bool = False) -> Callabl
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if oracle is not None:
-            ORACLE_SQL[name] = fx.sql(oracle, low)
+            ORACLE_SQL[name] = oracle if oracle.startswith("WITH ") else fx.sql(oracle, low)
         return f
 
     return add
@@ -33,56 +33,97 @@ def register(name: str, oracle: str | None = None, low: bool = False) -> Callabl
 _KEPT: dict[tuple, object] = {}
 
 
+def _release(spark: SparkSession, value: object) -> None:
+    for x in value if isinstance(value, tuple) else (value,):
+        if isinstance(x, (DataFrame, B.Index)):
+            x.unpersist()
+            path = getattr(x, "_kinfold_path", None)
+            if path:
+                discard(spark, path)
+
+
+def _table(df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder: plans that read it several times don't repeat what made it."""
+    out, path = written(df, label)
+    out._kinfold_path = path
+    return out
+
+
+def _folder(spark: SparkSession, d: str) -> tuple:
+    """The session, the folder, and when its documents were last written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.sparkContext.applicationId, d, store.getFileStatus(at).getModificationTime() if store.exists(at) else None
+
+
 def _kept(f):
-    """One result a session, table folder and options: what many queries share (the index, the union, the joined
-    candidates) is built and cached once, as it is for the shards of a run."""
+    """What many queries share (the index, the union, the joined candidates) is built and cached once, as it is for the shards of a run.
+    Only one folder's tables are kept: those of another, or of a folder that has been written anew, let go of them."""
 
     def call(spark: SparkSession, d: str, *options):
-        key = (spark.sparkContext.applicationId, f.__name__, d, *options)
+        folder = _folder(spark, d)
+        if _KEPT and next(iter(_KEPT))[0] != folder:
+            if next(iter(_KEPT))[0][0] == folder[0]:
+                for value in _KEPT.values():
+                    _release(spark, value)
+            _KEPT.clear()
+        key = (folder, f.__name__, *options)
         if key not in _KEPT:
-            _KEPT[key] = f(spark, d, *options)
+            made = f(spark, d, *options)
+            _KEPT[key] = made
         return _KEPT[key]
 
     return call
 
 
+@_kept
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return _table(fx.records(spark, d), "records")  # a union reads its records some thirty times
+
+
+def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rec = _records(spark, d)
+    return rec.filter("side = 0"), rec.filter("side <> 0")
+
+
 @_kept
 def _index(spark: SparkSession, d: str, low: bool = False) -> tuple[DataFrame, B.Index]:
-    s1, pool = fx.split(spark, d)
+    s1, pool = _split(spark, d)
     return s1, B.Index(pool, B.Knobs.low() if low else B.Knobs()).persist()
 
 
 @_kept
 def _union(spark: SparkSession, d: str, low: bool = False, order: str = "fair") -> DataFrame:
     s1, index = _index(spark, d, low)
-    return B.union(s1, index, order).persist()
+    return _table(B.union(s1, index, order), "union")
 
 
 @_kept
 def _base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, B.Index]:
     s1, index = _index(spark, d, False)
-    return X.base(B.top_k(_union(spark, d, False, "fair"), index.knobs.top_k), s1, index.pool).persist(), s1, index
+    return _table(X.base(B.top_k(_union(spark, d, False, "fair"), index.knobs.top_k), s1, index.pool, index), "base"), s1, index
 
 
 @_kept
 def _truth(spark: SparkSession, d: str) -> DataFrame:
-    return fx.truth(spark, d).persist()
+    return fx.truth(*_split(spark, d)).persist()
 
 
 # Normalized records and key statistics
-@register("norm_tokens", "SELECT country, key AS token, count(*) AS n FROM (SELECT country, unnest(name_tokens) AS key FROM rec) GROUP BY ALL")
+@register("norm_tokens", f"SELECT lang AS country, token, count(*) AS n FROM (SELECT lang, unnest(toks) AS token FROM toks) WHERE token NOT IN ({fx._NOISE}) GROUP BY ALL")
 def norm_tokens(spark, d):
-    return B.tokens(fx.records(spark, d), "name_tokens").groupBy("country", F.col("key").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    words = T.without(T.words(F.col("text")))
+    return table(spark, d, "documents").select(F.col("lang").alias("country"), F.explode(words).alias("token")).groupBy("country", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("norm_name_key", "SELECT entity_id, country, name_key, name_text, len(name_tokens) AS n_core FROM rec")
 def norm_name_key(spark, d):
-    return fx.records(spark, d).select("entity_id", "country", "name_key", "name_text", F.size("name_tokens").alias("n_core"))
+    return _records(spark, d).select("entity_id", "country", "name_key", "name_text", F.size("name_tokens").alias("n_core"))
 
 
 @register("norm_postcode", "SELECT entity_id, postcode, array_to_string(addr_tokens, ' ') AS addr_text, addr_nums[1] AS addr_num, addr_empty FROM rec")
 def norm_postcode(spark, d):
-    return fx.records(spark, d).select("entity_id", "postcode", F.array_join("addr_tokens", " ").alias("addr_text"), F.col("addr_nums")[0].alias("addr_num"), "addr_empty")
+    return _records(spark, d).select("entity_id", "postcode", F.array_join("addr_tokens", " ").alias("addr_text"), F.col("addr_nums")[0].alias("addr_num"), "addr_empty")
 
 
 for _n, _t in (("token", "tok"), ("skel", "skel"), ("addr", "atok"), ("pair", "pair"), ("g", "g"), ("h", "h")):
@@ -119,7 +160,7 @@ for _o in ("fair", "containment"):
     register(f"union_{_o}", f"SELECT s1_id, cand_id, {_FLAGS}, idf_score, shared, containment, rnk FROM u_{_o}")(lambda spark, d, o=_o: _union(spark, d, False, o))
 register("union_fair_low_ceiling", f"SELECT s1_id, cand_id, {_FLAGS}, idf_score, shared, containment, rnk FROM u_fair", True)(lambda spark, d: _union(spark, d, True, "fair"))
 register("topk", "SELECT s1_id, cand_id, rnk FROM u_fair WHERE rnk <= 10")(lambda spark, d: B.top_k(_union(spark, d, False, "fair"), 10).select("s1_id", "cand_id", "rnk"))
-register("union_a_to_f", None)(lambda spark, d: (lambda s1, i: B.top_k(B.union(s1, i, "containment", ("a", "a2", "b", "c", "d", "e", "f")), 30))(*_index(spark, d, False)))
+register("union_a_to_f", f"SELECT s1_id, cand_id, {_FLAGS}, idf_score, shared, containment, rnk FROM u_af WHERE rnk <= 30")(lambda spark, d: (lambda s1, i: B.top_k(B.union(s1, i, "containment", ("a", "a2", "b", "c", "d", "e", "f")), 30))(*_index(spark, d, False)))
 
 
 # Diagnostics
@@ -154,7 +195,7 @@ _J = fx._jac
 
 
 @register("feat_name_sets", f"""SELECT s1_id, cand_id, {_J('s_tok', 'c_tok')} AS n_jacc, CASE WHEN greatest(length(s_name), length(c_name)) = 0 THEN 0.0 ELSE least(length(s_name), length(c_name))::DOUBLE / greatest(length(s_name), length(c_name)) END AS n_len_ratio,
-  abs(len(s_tok) - len(c_tok))::INT AS n_tok_diff, (s_key = c_key AND s_key <> '')::INT AS n_exact_key, 0 AS n_suffix_agree, 0 AS n_suffix_conflict FROM base""")
+  abs(len(s_tok) - len(c_tok))::INT AS n_tok_diff, (s_key = c_key AND s_key <> '')::INT AS n_exact_key, list_has_any(s_suf, c_suf)::INT AS n_suffix_agree, (len(s_suf) > 0 AND len(c_suf) > 0 AND NOT list_has_any(s_suf, c_suf))::INT AS n_suffix_conflict FROM base""")
 def feat_name_sets(spark, d):
     return X.name_sets(_base(spark, d)[0])
 
@@ -177,8 +218,7 @@ _SUMS = "(SELECT {0}, sum(idf)::DOUBLE AS {1} FROM (SELECT {2} {0}, s_country AS
     + _SUMS.format("s1_id, cand_id", "w", "", "list_intersect(s_tok, c_tok)", "base") + " USING (s1_id, cand_id) LEFT JOIN " + _SUMS.format("s1_id", "ws", "", "s_tok", "(SELECT DISTINCT s1_id, s_country, s_tok FROM base)")
     + " USING (s1_id) LEFT JOIN " + _SUMS.format("cand_id", "wc", "", "c_tok", "(SELECT DISTINCT cand_id, s_country, c_tok FROM base)") + " USING (cand_id)")
 def feat_idf_cover(spark, d):
-    b, _, index = _base(spark, d)
-    return X.idf_cover(b, index)
+    return X.idf_cover(_base(spark, d)[0])
 
 
 @register("feat_skeleton", f"SELECT s1_id, cand_id, {_J('s_sk', 'c_sk')} AS n_skel_jacc, coalesce(array_to_string(s_sk, ' '), '') AS s_skel, coalesce(array_to_string(c_sk, ' '), '') AS c_skel FROM base LEFT JOIN s_sk USING (s1_id) LEFT JOIN c_sk USING (cand_id)")
@@ -186,16 +226,10 @@ def feat_skeleton(spark, d):
     return X.skeletons(_base(spark, d)[0])
 
 
-def _lone(own: str, other: str, sk: str, key: str, out: str) -> str:
-    return (f"(SELECT s1_id, cand_id, count(*) AS n_{out}_cnt, max(coalesce(idf, 16000000)) AS n_{out}_max_idf FROM (SELECT s1_id, cand_id, s_country AS country, {other} AS other, {sk} AS osk, unnest({own}) AS key FROM base LEFT JOIN {sk} USING ({key})) x"
-            f" JOIN sounds ON sounds.tok = x.key LEFT JOIN tok_df USING (country, key) WHERE NOT list_contains(other, key) AND NOT coalesce(length(sk) >= 2 AND list_contains(osk, sk), false) GROUP BY ALL)")
-
-
-@register("feat_leftover", "SELECT s1_id, cand_id, coalesce(n_extra_cnt, 0) AS n_extra_cnt, coalesce(n_extra_max_idf, 0) AS n_extra_max_idf, coalesce(n_missing_cnt, 0) AS n_missing_cnt, coalesce(n_missing_max_idf, 0) AS n_missing_max_idf FROM base LEFT JOIN "
-    + _lone("c_tok", "s_tok", "s_sk", "s1_id", "extra") + " USING (s1_id, cand_id) LEFT JOIN " + _lone("s_tok", "c_tok", "c_sk", "cand_id", "missing") + " USING (s1_id, cand_id)")
+@register("feat_leftover", "SELECT s1_id, cand_id, coalesce(e.cnt, 0) AS n_extra_cnt, coalesce(e.heaviest, 0) AS n_extra_max_idf, coalesce(m.cnt, 0) AS n_missing_cnt, coalesce(m.heaviest, 0) AS n_missing_max_idf"
+    " FROM base LEFT JOIN extra e USING (s1_id, cand_id) LEFT JOIN missing m USING (s1_id, cand_id)")
 def feat_leftover(spark, d):
-    b, _, index = _base(spark, d)
-    return X.leftovers(b, index)
+    return X.leftovers(_base(spark, d)[0])
 
 
 @register("feat_rival", f"""SELECT b.s1_id, b.cand_id, greatest(coalesce(ks.n, 0), 1) AS x_s1_name_dup, coalesce(kc.n, 0) AS x_c_name_s1cnt, r.j AS x_rival_addr, r.j - {_J('s_atok', 'c_atok')} AS x_rival_addr_adv, r.num AS x_rival_num
@@ -229,7 +263,7 @@ def select_threshold(spark, d):
     return S.select_threshold(_probs(spark, d), 0.9)
 
 
-@register("select_exact")
+@register("select_exact", "SELECT s1_id, cand_id, p FROM kept JOIN cuts USING (s1_id) WHERE k <= cut")
 def select_exact(spark, d):
     return S.select_exact(_probs(spark, d))
 
@@ -256,14 +290,14 @@ def list_context(spark, d):
 
 @register("f05_macro", "SELECT round(avg(f05), 6) AS f05, sum(k)::BIGINT AS n_chosen, sum(m)::BIGINT AS n_true, sum(h)::BIGINT AS n_hit FROM scored")
 def f05_macro(spark, d):
-    s1, _ = fx.split(spark, d)
+    s1, _ = _split(spark, d)
     each = S.f05(S.select_approximate(_probs(spark, d)), _truth(spark, d), s1.select(F.col("entity_id").alias("s1_id")))
     return each.agg(F.round(F.avg("f05"), 6).alias("f05"), F.sum("k").alias("n_chosen"), F.sum("m").alias("n_true"), F.sum("h").alias("n_hit"))
 
 
 @register("error_taxonomy", """SELECT category, country, count(*) AS n, round(sum(1 - f05), 6) AS lost FROM (SELECT *, CASE WHEN f05 = 1 THEN 'right' WHEN m = 0 AND k > 0 THEN 'false match' WHEN m > 0 AND k = 0 THEN 'missed all' WHEN h = 0 THEN 'all wrong' WHEN h < k THEN 'some wrong' ELSE 'too few' END AS category FROM scored) GROUP BY ALL""")
 def error_taxonomy(spark, d):
-    s1, _ = fx.split(spark, d)
+    s1, _ = _split(spark, d)
     ids = s1.select(F.col("entity_id").alias("s1_id"), "country")
     return S.error_taxonomy(S.f05(S.select_approximate(_probs(spark, d)), _truth(spark, d), ids))
 
@@ -279,12 +313,10 @@ def _ann(spark, d):
 
 
 def _vector_pairs(spark, d):
-    q, p = fx.vectors(spark, d)
-    same = q.select("qid", "grp").join(p.select("cid", "grp"), "grp").select(F.col("qid").alias("s1_id"), F.col("cid").alias("cand_id"))
-    return same.withColumn("b", T.bucket(F.concat_ws("-", "s1_id", "cand_id"), 1000)).filter("b < 100").select("s1_id", "cand_id", (F.col("b") / 1000.0).alias("p"))
+    return fx.vector_blocks(*fx.vectors(spark, d))
 
 
-_VP = "(SELECT qid AS s1_id, cid AS cand_id, b / 1000.0::DOUBLE AS p FROM (SELECT qid, cid, ('0x' || substr(md5(qid || '-' || cid), 1, 8))::BIGINT % 1000 AS b FROM vq q JOIN vp p USING (grp)) WHERE b < 100)"
+_VP = "vblock"
 _OWN = f"(SELECT qid AS s1_id, cid AS cand_id, score AS ann_score, rank AS ann_rank, max(score) OVER (PARTITION BY qid) AS ann_top FROM near WHERE qid IN (SELECT s1_id FROM {_VP}))"
 
 
@@ -309,7 +341,7 @@ def gate(spark, d):
 @register("tfidf_topn", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM (
   SELECT a.id AS qid, b.id AS cid, round(sum(a.w::HUGEINT * b.w)::DOUBLE / (max(a.norm) * max(b.norm)), 6) AS score FROM uq a JOIN uc b USING (g) GROUP BY ALL) WHERE score > 0.05) WHERE rank <= 25""")
 def tfidf_topn(spark, d):
-    s1, pool = fx.split(spark, d)
+    s1, pool = _split(spark, d)
     of = lambda df: df.select(F.col("entity_id").alias("id"), F.col("name_tokens").alias("tokens"))
     return R.tfidf_top(of(s1), of(pool), pool.count())
 
@@ -321,7 +353,7 @@ def tfidf_topn(spark, d):
 def match_tsv(spark, d):
     from ..sources.io import match_lines
 
-    s1, _ = fx.split(spark, d)
+    s1, _ = _split(spark, d)
     return match_lines(s1.select("entity_id"), S.select_approximate(_probs(spark, d)), "matched_entity_ids")
 
 
@@ -338,20 +370,20 @@ _B = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 
 @register("fold_split", f"SELECT entity_id, CASE WHEN {_B.format('entity_id')} % 100 < 70 THEN 0 WHEN {_B.format('entity_id')} % 100 < 85 THEN 1 ELSE 2 END AS fold, ({_B.format("'cv' || entity_id")} % 5)::INT AS cv FROM s1")
 def fold_split(spark, d):
-    s1, _ = fx.split(spark, d)
+    s1, _ = _split(spark, d)
     b = T.bucket(F.col("entity_id"), 100)
     return s1.select("entity_id", F.when(b < 70, 0).when(b < 85, 1).otherwise(2).alias("fold"), T.bucket(F.col("entity_id"), 5, "cv").alias("cv"))
 
 
 @register("sample_per_mille", f"SELECT entity_id FROM s1 WHERE {_B.format('entity_id')} % 1000 < 50")
 def sample_per_mille(spark, d):
-    s1, _ = fx.split(spark, d)
+    s1, _ = _split(spark, d)
     return s1.filter(T.bucket(F.col("entity_id"), 1000) < 50).select("entity_id")
 
 
 @register("match_histogram", "SELECT n, count(*) AS records FROM (SELECT s.entity_id, count(cand_id) AS n FROM s1 s LEFT JOIN gt ON gt.s1_id = s.entity_id GROUP BY 1) GROUP BY n")
 def match_histogram(spark, d):
-    s1, _ = fx.split(spark, d)
+    s1, _ = _split(spark, d)
     n = s1.select(F.col("entity_id").alias("s1_id")).join(_truth(spark, d), "s1_id", "left").groupBy("s1_id").agg(F.count("cand_id").alias("n"))
     return n.groupBy("n").agg(F.count(F.lit(1)).alias("records"))
 
@@ -362,11 +394,13 @@ def null_summary(spark, d):
     return docs.agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in ("doc_id", "text", "lang", "source")])
 
 
-@register("word_ngrams", "SELECT gram, count(*) AS n FROM (SELECT unnest(list_concat(name_tokens, [name_tokens[i] || ' ' || name_tokens[i + 1] FOR i IN range(1, len(name_tokens))])) AS gram FROM rec) GROUP BY gram")
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@register("word_ngrams", f"SELECT gram, count(*) AS n FROM (SELECT unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS gram FROM (SELECT [t FOR t IN toks IF t NOT IN ({_STOP})] AS w FROM toks)) GROUP BY gram")
 def word_ngrams(spark, d):
-    t = F.col("name_tokens")
-    two = F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return fx.records(spark, d).select(F.explode(F.concat(t, two)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    words = table(spark, d, "documents").select(T.words(F.col("text")).alias("t"))
+    return words.select(F.explode(T.word_ngrams(F.col("t"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("owner_conflicts", "SELECT count(*) AS records, coalesce(sum(n - 1), 0)::BIGINT AS surplus FROM (SELECT cand_id, count(*) AS n FROM approx GROUP BY 1 HAVING count(*) > 1)")
@@ -375,19 +409,19 @@ def owner_conflicts(spark, d):
     return n.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
 
 
-# String scores over candidates
-@register("feat_jaro", "SELECT s1_id, cand_id, round(CASE WHEN s_name = '' OR c_name = '' THEN 0.0 ELSE jaro_winkler_similarity(s_name, c_name) END, 6) AS n_jaro FROM base")
-def feat_jaro(spark, d):
+# String scores over candidates: each distinct pair of names once
+def _scored(spark, d, name, out):
     from ..functions.similarity import score
 
-    return _base(spark, d)[0].select("s1_id", "cand_id", F.round(score("jaro_winkler", F.col("s_name"), F.col("c_name")), 6).alias("n_jaro"))
+    b = _base(spark, d)[0].select("s1_id", "cand_id", "s_name", "c_name")
+    each = b.select("s_name", "c_name").distinct()
+    return b.join(each.withColumn(out, score(name, F.col("s_name"), F.col("c_name"))), ["s_name", "c_name"]).select("s1_id", "cand_id", out)
 
 
-for _q, _f in (("ratio", "ratio"), ("prefix", "prefix_ratio"), ("token_sort", "token_sort_ratio"), ("token_set", "token_set_ratio"), ("partial", "partial_ratio")):
-
-    @register(f"feat_{_q}")
-    def _score(spark, d, q=_q, f=_f):
-        from ..functions.similarity import score
+@register("feat_jaro", "SELECT s1_id, cand_id, round(CASE WHEN s_name = '' OR c_name = '' THEN 0.0 ELSE jaro_winkler_similarity(s_name, c_name) END, 6) AS n_jaro FROM base")
+def feat_jaro(spark, d):
+    return _scored(spark, d, "jaro_winkler", "n_jaro").withColumn("n_jaro", F.round("n_jaro", 6))
 
-        return _base(spark, d)[0].select("s1_id", "cand_id", score(f, F.col("s_name"), F.col("c_name")).alias(f"n_{q}"))
 
+for _q, _f in (("ratio", "ratio"), ("prefix", "prefix_ratio"), ("token_sort", "token_sort_ratio"), ("token_set", "token_set_ratio"), ("partial", "partial_ratio")):
+    register(f"feat_{_q}")(lambda spark, d, q=_q, f=_f: _scored(spark, d, f, f"n_{q}"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, tuple[SparkSession, str | None]] = {}  # path: its session, and the name in the catalog if it has one
+
 
 def local_session(app: str = "kinfold", cpus: int | None = None, partitions: int | None = None) -> SparkSession:
     """A local session for tests and the bench. On a cluster the caller brings its own session."""
@@ -26,3 +32,55 @@ def local_session(app: str = "kinfold", cpus: int | None = None, partitions: int
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset in a local session (tests) a temporary
+    folder takes its place and is set for the context too; on a cluster executors would each write to a disk of their own, so there it is an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = getattr(context, "_kinfold_dir", None)
+    if own is None:
+        own = context._kinfold_dir = "file://" + tempfile.mkdtemp(prefix="kinfold-")
+        context.setCheckpointDir(own)
+    return own
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Cuts the lineage: writes ``df`` to the shared folder and reads it back. A lost executor then
+    costs no recomputation of what lies before. Returns the table and its path for ``discard``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kinfold-{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written[path] = (spark, None)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written_by(df: DataFrame, label: str, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """Like ``written``, but dealt into buckets by ``key``: a join on the key reads this side where it lies,
+    without another shuffle of it. Buckets need a name in the catalog, which goes with the table."""
+    spark, name = df.sparkSession, f"kinfold_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    _written[path] = (spark, name)
+    return spark.table(name), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written intermediate that nothing reads any more, and its name in the catalog."""
+    _, name = _written.pop(path, (spark, None))
+    if name is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path, (spark, _) in list(_written.items()):
+        with contextlib.suppress(Exception):
+            discard(spark, path)

@@ -16,6 +16,26 @@ def read_source(spark: SparkSession, path: str | list[str], limit: int | None =
     return df if limit is None else df.limit(limit)
 
 
+def read_column(spark: SparkSession, path: str | list[str], column: str = "entity_id") -> DataFrame:
+    """One column of the tab-separated records; the others aren't parsed."""
+    return read_source(spark, path).select(column)
+
+
+def read_tables(spark: SparkSession, *paths: str, columns: list[str] | None = None, where: dict[str, list] | None = None) -> DataFrame:
+    """Several Parquet files or folders as one table. ``columns`` alone are read, and ``where`` (column: the values it may have) goes down to the scan."""
+    df = spark.read.parquet(*paths)
+    for column, values in (where or {}).items():
+        df = df.filter(F.col(column).isin(list(values)))
+    return df.select(*columns) if columns else df
+
+
+def registered(spark: SparkSession, table, name: str) -> DataFrame:
+    """An Arrow or pandas table as a relation that SQL can name."""
+    df = spark.createDataFrame(table)
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def read_truth(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
     """s1_id, cand_id of the true matches; ids (entity_id) restricts them."""
     df = spark.read.csv(path, sep="\t", header=True, schema=TRUTH, enforceSchema=True, quote="").filter("matched_entity_ids IS NOT NULL AND matched_entity_ids <> ''")
@@ -26,8 +46,10 @@ def read_truth(spark: SparkSession, path: str, ids: DataFrame | None = None) ->
 
 
 def with_row_order(df: DataFrame) -> DataFrame:
-    """Adds the file and the row number within it, for results in file order. Parquet only."""
-    return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    """Adds the file (``__file``) and the place within it (``__row``, a struct of where the split begins and a growing number), for results in file order. For
+    tables read from files, before any shuffle."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    return df.select("*", F.col("_metadata.file_path").alias("__file"), place.alias("__row"))
 
 
 def canonical_text(df: DataFrame) -> DataFrame:
@@ -37,6 +59,12 @@ def canonical_text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat(tidy("business_name"), F.lit(" | "), F.when(address == "", "unknown address").otherwise(address)))
 
 
+def in_file_order(lines: DataFrame, source: DataFrame, key: str = "source1_entity_id") -> DataFrame:
+    """``lines`` in the order of the source's rows. source: ``with_row_order`` of a table that has entity_id."""
+    order = source.select(F.col("entity_id").alias(key), "__file", "__row")
+    return lines.join(order, key).orderBy("__file", "__row").drop("__file", "__row")
+
+
 def match_lines(ids: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
     """One line for every id, its sorted partners joined by commas (empty if none)."""
     lists = pairs.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_list("cand_id")), ",").alias(column))
@@ -55,6 +83,21 @@ def write_lines(df: DataFrame, path: str, order: list[str] | None = None) -> Non
     (df.orderBy(*order) if order else df).write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="", emptyValue="")
 
 
+def append_table(df: DataFrame, path: str) -> None:
+    """Adds rows to a Parquet table, which may not be there yet."""
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def versioned(path: str, version: int | str) -> str:
+    """A folder for each version of what makes a table, so that tables of an older one are never read."""
+    return f"{path.rstrip('/')}/version={version}"
+
+
+def write_one_file(df: DataFrame, path: str) -> None:
+    """Tab-separated with a header in one file, in the rows' order. For results of a line a record; all rows pass one task."""
+    df.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="", emptyValue="", quote="")
+
+
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a folder was written to its end."""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -72,6 +115,12 @@ def run_shards(spark: SparkSession, s1: DataFrame, shards: int, path: str, work)
     return spark.read.parquet(path)
 
 
+def exclusive(truth: DataFrame) -> DataFrame:
+    """One row: records of the truth and how many of them have several owners."""
+    owners = truth.groupBy("cand_id").agg(F.count(F.lit(1)).alias("n"))
+    return owners.agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("n") > 1, 1)).alias("shared"))
+
+
 def validate(ids: DataFrame, matches: DataFrame, candidates: DataFrame, pool: DataFrame) -> dict[str, int]:
     """Counts of what is wrong with results: ids without or with several lines, matches outside the candidates,
     partners that the pool lacks, pool records with several owners. All zero is valid."""

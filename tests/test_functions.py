@@ -34,6 +34,61 @@ def test_scores_at_the_edges():
     assert abs(sim.jaro_winkler("martha", "marhta") - 0.961111) < 1e-5
 
 
+def plain_partial(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    windows = [b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))] if a else []
+    return max([2 * plain_lcs(a, w) / (len(a) + len(w)) for w in windows], default=0.0)
+
+
+def test_partial_ratio_against_every_window():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randrange(12))) for _ in range(2))
+        assert sim.partial_ratio(a, b) == plain_partial(a, b), (a, b)
+
+
+# Pairs of names and what must hold of them; names in each script.
+CASES = [
+    ("Ram Marketing Private Limited", "राम मार्केटिंग प्राइवेट लिमिटेड", "key"), ("मॉडर्न फाइनेंस", "Modern Finance", "fuzzy"), ("श्री साई इंफ्राटेक", "Shri Sai Infratech", "fuzzy"), ("Smith & Sons Corp", "Smith and Sons Corporation", "key"),
+    ("Smith & Sons", "Smith Sons", "key"), ("Café Déjà Inc", "Cafe Deja Incorporated", "key"), ("Acme Traders Pvt Ltd", "Traders Acme Private Limited", "key"), ("Marina Ecole France Sarl", "Marina Ecole France S.A.R.L.", "key"),
+    ("Zephay Labs Inc", "Zephyr Labs Inc", "differ"), ("Prime Money", "Prime Motors", "differ"),
+]
+SAMPLES = [
+    "राम मार्केटिंग प्राइवेट लिमिटेड", "मॉडर्न फाइनेंस", "സിൽവർ കൺസൾട്ടൻസി പ്രൈവറ്റ് ലിമിറ്റഡ്", "આલ્ફા ફાઉન્ડેશન પ્રાઇવેટ લિમિટેડ", "ರಾಮ್ ಬಿಸಿನೆಸ್ ಪ್ರೈವೇಟ್ ಲಿಮಿಟೆಡ್", "ஸ்மார்ட் எக்ஸ்போர்ட்ஸ் பிரைவேட் லிமிடெட்",
+    "রেড টেক প্রাইভেট লিমিটেড", "లోటస్ మార్కెటింగ్ ప్రైవేట్ లిమిటెడ్", "ਸ਼ਿਵਮ ਗੋਲਡਨ ਪ੍ਰੋਡਿਊਸਰ ਐਲਐਲਪੀ", "ସୁପର୍ ମ୍ୟାନେଜମେଣ୍ଟ୍",
+]
+
+
+def test_the_gate_of_names(spark):
+    raw = [x for a, b, _ in CASES for x in (a, b)] + SAMPLES
+    rows = spark.createDataFrame([(str(i), x, "", "x") for i, x in enumerate(raw)], "entity_id string, business_name string, business_address string, country string")
+    got = {int(r.entity_id): r for r in normalize_records(rows, 1).collect()}
+    for i, (a, b, mode) in enumerate(CASES):
+        one, two = got[2 * i], got[2 * i + 1]
+        same = one.name_key == two.name_key != ""
+        assert same if mode == "key" else not same if mode == "differ" else sim.token_set_ratio(one.name_text, two.name_text) >= 0.6, (a, b, one.name_text, two.name_text)
+    for i, text in enumerate(SAMPLES, 2 * len(CASES)):
+        assert got[i].name_tokens and got[i].name_key.isascii(), text
+
+
+@pytest.mark.parametrize("chunk,want", [("s.a.r.l.", "sarl"), ("a.b", "ab"), ("a.b.corp", "abcorp"), ("end.a.b", "end.ab"), ("a", "a"), ("3.5", "3.5"), ("x.y.5", "xy5"), ("ab.c", "ab.c"), ("a.", "a."), ("_b.c.d", "_b.cd"), ("", "")])
+def test_initials(chunk, want):
+    from kinfold.functions.normalize import initials
+
+    assert initials(chunk) == want
+
+
+def test_record_gate(spark):
+    from kinfold.functions.normalize import check_records
+
+    rows = normalize_records(spark.createDataFrame([("1", "A B", "", "x"), ("2", None, "", "x")], "entity_id string, business_name string, business_address string, country string"), 1)
+    check_records(rows, 2, blank=0.5)
+    for expected, blank in ((3, 0.5), (2, 1e-4)):
+        with pytest.raises(ValueError):
+            check_records(rows, expected, blank)
+
+
 @pytest.mark.parametrize("a,b", [("Prime Motors Inc", "PRIME MOTORS, Inc."), ("Zen & Co", "Zen and Company"), ("S.A.R.L. Dupont", "Dupont SARL"), ("Café Noir", "Cafe Noir"), ("f0od 6lobal", "food global")])
 def test_names_that_are_one(spark, a, b):
     rows = spark.createDataFrame([("1", a, "", "x"), ("2", b, "", "x")], "entity_id string, business_name string, business_address string, country string")

@@ -62,6 +62,26 @@ def test_rivals_match_the_plain_join(spark):
     assert fast == slow and slow
 
 
+def test_retrieval_forms_agree(spark):
+    from kinfold.operators import retrieval as R
+
+    rng = random.Random(4)
+    vectors = [(i, f"g{i % 3}", [rng.randrange(-50, 50) for _ in range(6)]) for i in range(90)]
+    q = spark.createDataFrame(vectors[:30], "qid long, grp string, v array<long>")
+    c = spark.createDataFrame(vectors[30:], "cid long, grp string, v array<long>")
+    rows = lambda df: sorted((r.qid, r["rank"], r.cid, float(r.score)) for r in df.collect())
+    assert rows(R.knn(q, c, 4, block=7, cell=5)) == rows(R.knn_sql(q, c, 4))
+    texts = spark.createDataFrame([(1, "abcd"), (2, "abcd"), (3, None), (4, "zzzz")], "id long, t string")
+    v = {r.id: r.v for r in R.hashed_embedding(texts, "t", 64).collect()}
+    assert v[1] == v[2] and abs(sum(x * x for x in v[1]) - 1) < 1e-5 and v[3] is not None
+    pairs = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 0.2), ("b", "x", 0.9)], "s1_id string, cand_id string, p double")
+    ann = spark.createDataFrame([("a", "x", 0.9, 1), ("a", "z", 0.8, 2), ("c", "x", 0.7, 1)], "s1_id string, cand_id string, ann_score double, ann_rank int")
+    alone = {(r.s1_id, r.cand_id): (r.p, round(r.ann_gap, 6)) for r in R.with_ann(pairs, ann, pairs, 5)["alone"].collect()}
+    assert alone == {("a", "x"): (0.9, 0.0), ("a", "z"): (0.8, 0.1)}
+    o = {(r.s1_id, r.cand_id): (r.o_score, r.o_rank, r.o_gap) for r in R.with_original(pairs, ann).collect()}
+    assert o == {("a", "x"): (0.9, 1, 0.0), ("a", "y"): (None, None, None), ("b", "x"): (None, None, None)}
+
+
 def test_shards_give_the_same_and_resume(spark, tmp_path):
     s1, pool = fx.split(spark, SF)
     index = B.Index(pool)
@@ -88,6 +108,24 @@ def test_tsv_round_trip(spark, tmp_path):
     assert set(bad.values()) == {0}
 
 
+def test_exact_keys_with_many_records(spark):
+    """The pool is limited key by key before the join; the ranks are those of the whole join."""
+    rng = random.Random(2)
+    rows = lambda side, n: [(f"S{side}-{i:03d}", "us", rng.choice(["a b", "c"]), rng.choice(["", "1", "2"]), rng.choice([["ab", "cd"], ["abcd"], ["x"]])) for i in range(n)]
+    schema = "entity_id string, country string, name_key string, postcode string, name_tokens array<string>"
+    left, right = rows(1, 12), rows(2, 60)
+    for r in (s1 := spark.createDataFrame(left, schema)), (pool := spark.createDataFrame(right, schema)):
+        r.persist()
+    index = B.Index.__new__(B.Index)
+    index.pool, index.knobs = pool, B.Knobs(key_cap=7)
+    for name, key, least in (("a", lambda r: r[2], 1), ("a2", lambda r: "".join(r[4]), 4)):
+        want = set()
+        for s in left:
+            same = sorted(((name == "a" and not (c[3] and c[3] == s[3])), c[0]) for c in right if key(c) == key(s) and len(key(s)) >= least)
+            want |= {(s[0], c, i) for i, (_, c) in enumerate(same[:7], 1)}
+        assert {(r.s1_id, r.cand_id, r.rk) for r in index.scheme(name, s1).collect()} == want
+
+
 def test_winner_rule():
     assert L.choose({"ref": [1, 1, 1, 1, 1], "new": [2, 2, 2, 2, 0]}, "ref") == "new"
     assert L.choose({"ref": [1, 1, 1, 1, 1], "new": [9, 2, 2, 0, 0]}, "ref") == "ref"

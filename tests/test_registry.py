@@ -6,7 +6,7 @@ duckdb = pytest.importorskip("duckdb")
 import __spark_entry__ as entry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SOME = ["norm_name_key", "pair_df", "scheme_a", "scheme_b", "scheme_e", "scheme_g_low_ceiling", "fold_split", "null_summary", "training_pairs", "threshold_sweep", "country_summary", "plain_text"]
+LINKAGE = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline")
 
 
 def tidy(v):
@@ -15,10 +15,16 @@ def tidy(v):
     return v if v is None else str(v)
 
 
-@pytest.mark.parametrize("name", SOME)
-def test_query_against_duckdb(spark, name):
-    con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "labels", "pages", "benchmark", "conversations"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", LINKAGE)
+def test_query_against_duckdb(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(str([tidy(v) for v in r]) for r in df.select(*cols).collect())
