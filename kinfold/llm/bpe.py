@@ -165,7 +165,7 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
 def _coded_blocks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """chunk_words, chunk_sizes, ids, places of each block, and ``coded``: the ids of its words by bucket."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written_by(pretoken_blocks(docs, pattern, 4 * parts), "pretokens", "block", parts)
+    blocks, _ = written_by(pretoken_blocks(docs, pattern, 4 * parts), "pretokens", "block", parts)
     words = blocks.select("block", F.posexplode("words").alias("bucket", "words")).filter(F.length("words") > 0)
     coded = encode_words(words, path, pattern)
     known = coded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("coded"))
@@ -215,7 +215,8 @@ def _defaults(path: str | None, pattern: str | None) -> tuple[str, str]:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32 bits each) for every row. Null text counts as empty: no ids."""
+    """doc_id, ids (binary, little-endian unsigned 32 bits each) for every row; other columns are left out, whatever their names. Null text counts
+    as empty: no ids. Rows that repeat, and rows without doc_id, each come back; texts are read whole; an empty table gives an empty result."""
     return _coded_blocks(docs, *_defaults(path, pattern)).mapInArrow(_laid_out, "doc_id long, ids binary")
 
 

@@ -72,8 +72,8 @@ def format_conversations(df: DataFrame, template: ChatTemplate | None = None) ->
 
     Needs conv_id, turn, role, text; other columns are ignored. Null text and null role count as empty;
     a null turn sorts first; equal turns sort by role, then text; rows without conv_id form one
-    conversation of their own. Conversations that break the order are formatted too and flagged. An
-    empty table gives an empty result."""
+    conversation of their own; rows that repeat are turns of their own. Texts are taken whole at any length. Conversations that break the
+    order are formatted too and flagged. An empty table gives an empty result."""
     t = template or ChatTemplate()
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = df.select(

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, shared_dir, table, written, written_by
+
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "ascii_lower", "discard", "gapless", "shared_dir", "table", "written", "written_by"]
+
 #: White space of the word contracts: space and \x09-\x0D, as a Java character class and as a list.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_written: list[tuple[SparkSession, str]] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table; only Spark opens the path, so any store that Spark reads will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -28,55 +21,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset (tests,
-    a local session) a temporary folder takes its place and is set for the context too."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    own = getattr(spark.sparkContext, "_kinfold_dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.sparkContext._kinfold_dir = own
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back. A lost executor then
-    costs no recomputation of what lies before. Returns the table and its path for ``discard``."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinfold-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def written_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
-    """Like ``written``, but dealt into buckets by ``key``: a join on the key reads this side where it lies,
-    without another shuffle of it."""
-    spark, name = df.sparkSession, f"kinfold_{label}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
-    _written.append((spark, path))
-    return spark.table(name)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a written intermediate that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    with contextlib.suppress(ValueError):
-        _written.remove((spark, path))
-
-
-@atexit.register
-def _discard_all() -> None:
-    for spark, path in list(_written):
-        with contextlib.suppress(Exception):
-            discard(spark, path)
-
-
 def gapless(df: DataFrame, group: str, order: list[str], out: str, spread: int = 256, by: list[str] | None = None) -> DataFrame:
     """Numbers the rows of each ``group`` 0, 1, 2 ... without one task per group.
 

@@ -103,7 +103,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ledger(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``df`` with the measurements and ``failures``: bit i is set if rule i fails."""
+    """``df`` with the measurements and ``failures``: bit i is set if rule i fails. A row is measured by its own text alone, so rows that
+    repeat get the same entry; null text counts as empty, texts are read whole, an empty table gives an empty result. Columns of the measurements'
+    names, and of names that begin with two underscores, are replaced or left out; others stay."""
     bits = F.lit(0).cast("long")
     for i, r in enumerate(rules):
         bits = bits.bitwiseOR(F.when(r.fails(F.col), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))

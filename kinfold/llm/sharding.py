@@ -82,8 +82,9 @@ def _picker(key: Column, tree: ShardTree):
 
 
 def assign_shards(df: DataFrame, key: str, tree: ShardTree, prefix: str = "") -> DataFrame:
-    """Adds ``{prefix}region``, ``{prefix}rack`` and ``{prefix}shard`` (int). Rows with a null key are placed
-    by the key ``null``. Equal keys land together; nothing else about a row matters."""
+    """Adds ``{prefix}region``, ``{prefix}rack`` and ``{prefix}shard`` (int); columns of these names are replaced, others stay. Rows with a null key are placed
+    by the key ``null``. Equal keys land together (of equal draws the smaller name wins); nothing else about a row matters, its
+    texts least of all. Rows that repeat stay; an empty table gives an empty result."""
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     pick = _picker(name, tree)
     return (

@@ -10,6 +10,11 @@ A run of over ``RUN`` distinct fingerprints isn't compared pair by pair: its mem
 other half is cut into three parts, of which two linked members share one, and members that share a part are
 searched breadth first, each against those not yet reached. A tight group is reached in a few steps. A run is
 8 bytes for each distinct fingerprint in it.
+
+``similar_classes`` finds near copies by what they share of their five-word shingles. There the method only proposes: fingerprints of 126
+bits over two-word shingles (of which a change of one word spoils two, not five) are cut into six segments of 21 bits, one-wildcard variants
+meet in runs, and a run proposes the links of its minimum spanning tree by differing bits. So a group's closest pairs are proposed, no
+more of them than it has members. The five-word shingles of the proposed pairs then decide, exactly.
 """
 
 from __future__ import annotations
@@ -29,6 +34,11 @@ from .components import connected_components
 WORDS, SEED, BITS = 3, 42, 2
 RUN = 512
 
+#: Of ``similar_classes``: words of a deciding shingle and their least similarity; words of a proposing one, segments, their bits, and the most differing bits of all.
+SHINGLE, SIMILARITY = 5, 0.8
+PAIR_WORDS, SEGMENTS, WIDTH, REACH = 2, 6, 21, 26
+TREE = 4096  # members of a run whose tree is taken at once
+
 
 def _shingle_hashes(text: bytes) -> list[int]:
     words = text.lower().split()  # of bytes: A-Z alone are lowered, space and \x09-\x0D alone divide
@@ -65,9 +75,9 @@ def fingerprints(docs: DataFrame, *beside: Column) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fp = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,17 +206,190 @@ def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component one row, the one with the smallest doc_id. Of rows of
-    a component that repeat this id, or of those of a component without ids, the one with the smallest hash of its text
-    stays. Rows of different components don't touch each other, whatever their ids."""
+def _shingles(words: list[bytes], n: int) -> set[bytes]:
+    """Distinct runs of n words; of fewer words the whole sequence, of none nothing."""
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def _wide_fingerprint(words: list[bytes]) -> tuple[int, int]:
+    """The first 126 bits of a 128-bit fingerprint over the distinct shingles of ``PAIR_WORDS`` words, 63 in each of two numbers."""
+    digests = [xxhash.xxh3_128_digest(x) for x in _shingles(words, PAIR_WORDS)]
+    if not digests:
+        return 0, 0
+    counts = np.zeros(128, dtype=np.int64)
+    for at in range(0, len(digests), 4096):
+        part = np.frombuffer(b"".join(digests[at : at + 4096]), dtype=np.uint8).reshape(-1, 16)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    bits = 2 * counts > len(digests)
+    both = (bits[:126].reshape(2, 63) * (1 << np.arange(63, dtype=np.int64))).sum(axis=1)
+    return int(both[0]), int(both[1])
+
+
+def _wide_prints(docs: DataFrame, *beside: Column) -> DataFrame:
+    """a, b (the fingerprint), content (a digest of the text's words) and the columns ``beside`` of every row."""
+    rows = docs.select(F.col("text").cast("string").alias("__text"), *beside)
+    names = ["a", "b", "content", *rows.columns[1:]]
+    schema = ", ".join(["a long, b long, content binary", *[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t in batch.column(0).cast(pa.binary()):
+                words = (t.as_py() or b"").lower().split()
+                found.append((*_wide_fingerprint(words), xxhash.xxh3_128_digest(b" ".join(words))))
+            a, b, content = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(content, pa.binary()), *batch.columns[1:]], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _wide_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint (a, b) under its one-wildcard segment variants."""
+    bit = np.arange(WIDTH, dtype=np.int64)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            a, b = (whole.column(i).slice(at, 4096).to_numpy() for i in (0, 1))
+            keys = []
+            for s in range(SEGMENTS):
+                part = ((a if s < 3 else b) >> (WIDTH * (s % 3))) & ((1 << WIDTH) - 1)
+                keys.append((part[:, None] & ~(1 << bit)[None, :]) | (bit << WIDTH)[None, :] | s << 26)
+            key = np.concatenate(keys, axis=1).reshape(-1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(a, SEGMENTS * WIDTH)), pa.array(np.repeat(b, SEGMENTS * WIDTH))], ["key", "a", "b"])
+
+
+def _tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``x`` (a, b): the minimum spanning forest by differing bits, ``REACH`` at most. Of equal distances the first row's counts."""
+    m = len(x)
+    if m > TREE:  # parts that agree in one more segment, cut by each of the others in turn; what stays long is taken as it is
+        us, vs = [], []
+        for s in range(SEGMENTS):
+            part = (x[:, s // 3] >> (WIDTH * (s % 3))) & ((1 << WIDTH) - 1)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            if len(cuts):
+                for own in np.split(order, cuts):
+                    if len(own) > 1:
+                        u, v = _prim(x[own])
+                        us.append(own[u]), vs.append(own[v])
+        return (np.concatenate(us), np.concatenate(vs)) if us else _prim(x)
+    return _prim(x)
+
+
+def _prim(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rest = np.arange(1, len(x))
+    away, near = np.bitwise_count(x[1:] ^ x[0]).sum(axis=1, dtype=np.int64), np.zeros(len(x) - 1, dtype=np.int64)
+    us, vs = [], []
+    while len(rest):
+        i = int(away.argmin())
+        n = int(rest[i])
+        if away[i] <= REACH:
+            us.append(int(near[i])), vs.append(n)
+        rest, away, near = np.delete(rest, i), np.delete(away, i), np.delete(near, i)
+        own = np.bitwise_count(x[rest] ^ x[n]).sum(axis=1, dtype=np.int64)
+        closer = own < away
+        away[closer], near[closer] = own[closer], n
+    return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
+
+
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, b) sorted by all three: the proposed links (a, b, c, d) of each run. Holds the run that goes over a batch's end."""
+    held_key, held = None, []
+
+    def found(runs: list[np.ndarray], two: np.ndarray) -> pa.RecordBatch:
+        links = [two]
+        for x in runs:
+            u, v = _tree(x)
+            links.append(np.concatenate([x[u], x[v]], axis=1))
+        out = np.concatenate(links)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, i])) for i in range(4)], ["a", "b", "c", "d"])
+
+    none = np.empty((0, 4), dtype=np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, x = batch.column(0).to_numpy(), np.stack([batch.column(i).to_numpy() for i in (1, 2)], axis=1)
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
+        edge = (starts == 0) | (ends == len(key))
+        two = starts[(ends - starts == 2) & ~edge]  # most runs: taken together
+        near = two[np.bitwise_count(x[two] ^ x[two + 1]).sum(axis=1) <= REACH]
+        runs = []
+        for i, j in zip(starts[edge | (ends - starts > 2)].tolist(), ends[edge | (ends - starts > 2)].tolist(), strict=True):
+            if i == 0 and held_key is not None and key[0] != held_key:
+                runs.append(np.concatenate(held))
+                held = []
+            run = [*(held if i == 0 else []), x[i:j]]
+            if j == len(key):
+                held_key, held = key[-1], run
+            else:
+                runs.append(np.concatenate(run))
+        yield found([r for r in runs if len(r) > 1], np.concatenate([x[near], x[near + 1]], axis=1))
+    if held and sum(map(len, held)) > 1:
+        yield found([np.concatenate(held)], none)
+
+
+def proposed_links(distinct: DataFrame) -> DataFrame:
+    """distinct: a, b, no repeats. Proposed links (a, b, c, d), each once."""
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.select("a", "b").repartition(parts, "a", "b")
+    runs = spread.mapInArrow(_wide_variants, "key int, a long, b long").repartition(parts, "key").sortWithinPartitions("key", "a", "b")
+    found, _ = written(runs.mapInArrow(_propose, "a long, b long, c long, d long"), "proposed")
+    return found.distinct()
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """content, text to content, shingles (array of hashes of the distinct shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh64_intdigest
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [np.fromiter((h(x) for x in _shingles((t.as_py() or b"").lower().split(), words)), dtype=np.uint64).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["content", "shingles"])
+
+    return texts.select("content", F.col("text").cast("string")).mapInArrow(run, "content binary, shingles array<long>")
+
+
+def similar_classes(docs: DataFrame, *beside: Column, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """content, root and the columns ``beside`` of every row of ``docs``. Rows of one root reach each other by links of at least ``similarity``
+    (common by all distinct shingles of ``words`` words); a root is the content of one of them in a hashed form.
+
+    A text is its words, A-Z in lower case; texts of the same words are one from the start, null and wordless texts among them. Links are verified
+    exactly; what is proposed is described above, and measured in the README."""
+    mark = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    prints, _ = written(_wide_prints(docs, mark.alias("__mark"), *beside), "wide")
+    contents = prints.groupBy("a", "b", "content").agg(F.min("__mark").alias("mark"))
+    first = contents.groupBy("a", "b").agg(F.min("content").alias("first"))
+    links = proposed_links(first)
+    second = first.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("first").alias("v"))
+    between = links.join(first, ["a", "b"]).join(second, ["c", "d"]).select(F.col("first").alias("u"), "v")
+    within = contents.join(first, ["a", "b"]).filter("content <> first").select(F.col("first").alias("u"), F.col("content").alias("v"))
+    pairs, _ = written(between.unionByName(within), "pairs")
+    asked = pairs.select(F.col("u").alias("content")).unionByName(pairs.select(F.col("v").alias("content"))).distinct()
+    marks = contents.join(asked, "content", "left_semi").select("content", F.col("mark").alias("__mark"))
+    texts = docs.select("text", mark.alias("__mark")).join(marks, "__mark").dropDuplicates(["content"])
+    sets, _ = written(_shingle_sets(texts, words), "shingles")
+    of = lambda x: sets.select(F.col("content").alias(x), F.col("shingles").alias(f"s{x}"))
+    common = F.size(F.array_intersect("su", "sv"))
+    alike = pairs.join(of("u"), "u").join(of("v"), "v").filter(common >= similarity * (F.size("su") + F.size("sv") - common) - 1e-9)
+    roots = connected_components(alike.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")))
+    rest = [c for c in prints.columns if c not in ("a", "b", "content", "__mark")]
+    own = prints.withColumn("__id", F.xxhash64("content"))
+    return own.join(roots, own["__id"] == roots["id"], "left").select("content", F.coalesce("root", "__id").alias("root"), *rest)
+
+
+def keep_one_of_each(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class of ``similar_classes`` one row, the one with the smallest doc_id. Of rows of
+    a class that repeat this id, or of those of a class without ids, the one with the smallest hash of its text stays, and of those that
+    repeat that too the first by their other columns. Rows of different classes don't touch each other, whatever their ids. Null
+    texts count as empty; an empty table gives an empty result; other columns stay as they are, whatever their names."""
     from pyspark.sql import Window
 
     mark = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
-    prints, _ = written(fingerprints(docs, mark.alias("mark")), "prints")
-    placed = _placed(prints, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")))
-    keep = placed.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.mark").alias("__own"))
-    # Equal ids and texts have one fingerprint, so each pair of them in ``keep`` stands for one component.
+    placed = similar_classes(docs, F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), words=words, similarity=similarity)
+    keep = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.mark").alias("__own"))
+    # Equal ids and texts are of one class, so each pair of them in ``keep`` stands for one class.
     marked = docs.withColumn("__mark", mark)
     stays = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (F.col("__mark") == F.col("__own")), "left_semi")
     first = Window.partitionBy("doc_id", "__mark").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"])

@@ -90,11 +90,11 @@ def boundaries(rules: DataFrame) -> DataFrame:
 
 
 def judge_urls(df: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", tie: str = "page_id") -> DataFrame:
-    """Adds host, path, rule (null where none fits) and verdict (``default`` where none fits).
+    """Adds host, path, rule (null where none fits) and verdict (``default`` where none fits); columns of these names are replaced, others stay.
 
     The longest rule wins (host and path together), then the smaller rule text, then ``block``. A null url, or one without
     ``://``, has an empty host and path and so no rule but one for the empty host. No rows are lost or
-    repeated; rules in bounded number a host, as the stack of a key holds the rules of its parent hosts."""
+    repeated, equal urls are judged alike, urls are read at any length, an empty table gives an empty result; rules in bounded number a host, as the stack of a key holds the rules of its parent hosts."""
     spark = df.sparkSession
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     rows = df.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
@@ -139,11 +139,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH rules(rhost, rpath, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
   ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-u AS (
-  SELECT page_id,
-    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path
-  FROM pages
+rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM rest
 ), hit AS (
   SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
   FROM u JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)

@@ -77,6 +77,56 @@ def test_weights_move_rows_only_through_their_subtrees(spark):
     assert max(sizes) < 1.35 * min(sizes)
 
 
+def plain_shard(key, leaves):
+    """Region, rack and shard by the smallest -ln(u) / weight of each level, u from md5(key / name)."""
+    import math
+
+    def draw(name, weight):
+        bits = int(hashlib.md5(f"{key}/{name}".encode()).hexdigest()[:13], 16)
+        return -math.log((bits + 0.5) / 2**52) / weight
+
+    for level in ("region", "rack", "shard"):
+        weights = {}
+        for x in leaves:
+            name = str(getattr(x, level))
+            weights[name] = weights.get(name, 0.0) + x.weight
+        best = min((draw(n, w), n) for n, w in weights.items())[1]
+        leaves = [x for x in leaves if str(getattr(x, level)) == best]
+    return leaves[0]
+
+
+def test_shards_against_a_plain_descent(spark):
+    tree = sharding.ShardTree.uniform()
+    for r in sharding.op2_hash_tree_shards(spark, SF).collect():
+        leaf = plain_shard(r.doc_id, tree.leaves)
+        assert (r.region, r.rack, r.shard, r.grown_shard) == (leaf.region, leaf.rack, leaf.shard, plain_shard(r.doc_id, tree.grown().leaves).shard)
+
+
+def test_edges_of_chat_shards_and_urls(spark, clashing):
+    long = "x" * 300_000
+    docs = clashing([(1, long), (2, long), (3, None)])
+    assert sharding.assign_shards(docs.limit(0), "doc_id", sharding.ShardTree.uniform()).count() == 0
+    assert {r.shard for r in sharding.assign_shards(docs, "doc_id", sharding.ShardTree.uniform()).collect()} <= set(range(40))
+    rows = clashing([(1, 0, "user", long + "</s>"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    (r,) = chat.format_conversations(rows).select("*", chat.parse_formatted(F.col("formatted")).alias("back")).collect()
+    assert [x.text for x in r.back] == [long + "</s>", long]
+    (u,) = urlfilter.judge_urls(clashing([(1, "http://a.org/" + long)], "page_id long, url string"), urlfilter.rule_table(spark, urlfilter.CONTRACT_RULES)).collect()
+    assert u.rule == "org/" and len(u.path) == len(long) + 1 and u.shard == "mine"
+
+
+def test_url_statement_takes_the_first_separator(spark):
+    import duckdb
+
+    urls = ["https://example.org?next=https://example.com/de/x", "https://a.com#x://b/de/", "https://example.org/es/?u=http://c.com/fr/", "x", None, "://", "HTTP://A.Com/de/1"]
+    con = duckdb.connect()
+    con.sql("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    want = {r[0]: r[1:] for r in con.sql(f"select page_id, host, path, rule, verdict from ({urlfilter.OP7_SQL})").fetchall()}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(df, urlfilter.rule_table(spark, urlfilter.CONTRACT_RULES)).collect()}
+    assert got == want
+
+
 def test_shard_edges(spark, clashing):
     df = clashing([(None, "x"), (1, None), (1, None), (2, "")])
     out = sharding.assign_shards(df, "doc_id", sharding.ShardTree.uniform()).collect()

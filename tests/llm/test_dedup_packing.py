@@ -7,6 +7,7 @@ import public_tokenizers as P
 import xxhash
 from kinfold.llm import components, packing, simhash
 from kinfold.llm.tokens import ChunkEncoder, rank_encoder
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 
@@ -35,6 +36,22 @@ def classes(fps, near=2):
     return root
 
 
+def plain_classes(texts, words=5, least=0.8):
+    """Lists of positions: texts that reach each other by links of that similarity of their shingles, all pairs compared."""
+    sets = []
+    for t in texts:
+        w = ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")).encode().split()
+        sets.append({b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common, both = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if (common >= least * both - 1e-9) and group[i] != group[j]:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return [[i for i, g in enumerate(group) if g == k] for k in set(group)]
+
+
 TEXTS = [None, "", " \t", "A b C", "a B c", "a b", "É b c d", "é b c d", "w " * 40, "x\x0by z", "x y z", "one two three four five six seven"]
 
 
@@ -60,7 +77,8 @@ def test_fingerprints_and_components(spark, clashing):
     mask = (1 << 64) - 1
     assert sorted((str(r.doc_id), r.fp & mask, str(r.component_id)) for r in got) == sorted((str(k), f, str(least.get(root[f]))) for (k, _), f in zip(docs, want))
     kept = simhash.keep_one_of_each(clashing(docs[:-1])).collect()
-    assert len(kept) == len({root[f] for f in want[:-1]}) and kept[0].shard == "mine"
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(min((docs[i][0] is None, docs[i][0]) for i in own)[1]) for own in plain_classes([t for _, t in docs[:-1]]))
+    assert kept[0].shard == "mine" and simhash.keep_one_of_each(clashing(docs).limit(0)).count() == 0
     assert simhash.near_duplicates(clashing(docs).limit(0)).count() == 0
 
 
@@ -206,3 +224,64 @@ def test_null_and_repeated_ids_lose_true_duplicates_alone(spark, clashing):
     kept = simhash.keep_one_of_each(clashing(docs)).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", a), ("None", b), ("None", c), ("2", d), ("2", e), ("None", "")])
     assert simhash.keep_one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).count() == 6
+
+
+def edited(rng, words, changes):
+    v = list(words)
+    for _ in range(changes):
+        at = rng.randrange(len(v))
+        v[at : at + 1] = rng.choice([[], [f"new{rng.randrange(999)}"], [v[at], f"in{rng.randrange(999)}"]])
+    return v
+
+
+def test_similar_classes_against_all_pairs(spark, clashing):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    texts = list(TEXTS) + ["w " * 90, "one two three four", "one two three four five"]
+    for size in (60, 150, 400, 900):
+        for _ in range(6):
+            base = [rng.choice(words) for _ in range(size)]
+            texts.append(" ".join(base))
+            for changes in (1, 1 + size // 100, 1 + size // 60, size // 20, size // 4):
+                texts.append(" ".join(edited(rng, base, changes)))
+    hot = [rng.choice(words) for _ in range(200)]
+    texts += [" ".join(edited(rng, hot, 1)) for _ in range(60)] + [" ".join(hot).upper()] * 20
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    want = plain_classes(texts)
+    got = {}
+    for r in simhash.similar_classes(clashing(docs), F.col("doc_id")).collect():
+        got.setdefault(r.root, set()).add(r.doc_id)
+    root = {i: k for k, own in got.items() for i in own}
+    assert len(root) == len(docs)
+    apart = sum(len({root[i] for i in own}) - 1 for own in want)
+    assert all(any(own <= set(w) for w in want) for own in got.values())  # no link below the similarity
+    assert apart <= 0.03 * sum(len(own) - 1 for own in want)  # few links that weren't proposed
+    kept = {r.doc_id for r in simhash.keep_one_of_each(clashing(docs)).collect()}
+    assert kept == {min(own) for own in got.values()}
+
+
+def test_runs_propose_their_spanning_trees():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, (3, 2))
+    rows = []
+    for key, size in ((1, 1), (2, 2), (5, 40), (6, 2), (9, 3)):
+        x = base[rng.integers(0, 3, size)] ^ (1 << rng.integers(0, 62, (size, 2)))
+        rows += [(key, *map(int, r)) for r in np.unique(x, axis=0)]
+    want = set()
+    for key in {r[0] for r in rows}:
+        own = np.array([r[1:] for r in rows if r[0] == key])
+        u, v = simhash._prim(own)
+        want |= {(*own[i], *own[j]) for i, j in zip(u, v)}
+        far = np.bitwise_count(own[:, None] ^ own[None]).sum(axis=2)
+        group = list(range(len(own)))  # the forest's trees are the components at that reach
+        for i, j in zip(*np.nonzero(far <= simhash.REACH)):
+            group = [group[i] if g == group[j] else g for g in group]
+        assert len(u) == len(own) - len(set(group))
+    for cut in (1, 3, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part]), pa.array([r[2] for r in part])], ["key", "a", "b"]) for part in (rows[i : i + cut] for i in range(0, len(rows), cut))]
+        got = [tuple(r.values()) for b in simhash._propose(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and {frozenset((r[:2], r[2:])) for r in got} == {frozenset((tuple(map(int, w[:2])), tuple(map(int, w[2:])))) for w in want}
+    assert list(simhash._propose(iter([]))) == []

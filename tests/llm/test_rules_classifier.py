@@ -17,7 +17,7 @@ def plain(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines), len(lines) - len(set(lines)), len(hit)
 
 
-TEXTS = [None, "", " ", "\n\n", "one", "a b", "a b c", "a b c a b c", "x x x x", "x x x", "a b c d a b c", " lead\ttab\x0bvt ", "l1\nl1\n\nl1 \nl2", "é ü 😀 é ü 😀", "a b\xa0c d", "###*** $$ % & | < >", "p q r " * 50, "w\r\nw\r\nw"]
+TEXTS = ["long words " * 20000, None, "", " ", "\n\n", "one", "a b", "a b c", "a b c a b c", "x x x x", "x x x", "a b c d a b c", " lead\ttab\x0bvt ", "l1\nl1\n\nl1 \nl2", "é ü 😀 é ü 😀", "a b\xa0c d", "###*** $$ % & | < >", "p q r " * 50, "w\r\nw\r\nw"]
 
 
 def test_measurements(spark, clashing):
@@ -87,3 +87,18 @@ def test_verdicts_stay_when_the_bound_binds(spark):
         got = classifier.score(held, classifier.train(fitted, labels, per_grade)).collect()
         share = {g: np.mean([r.kept for r in got if r.grade == g]) for g in (0, 2)}
         assert share[2] > 0.97 and share[0] < 0.1, (per_grade, share)
+
+
+def test_scores_against_a_plain_sum(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = classifier.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    for r in classifier.score(docs, model).collect():
+        s = sum(model.weights.get(f, 0.0) for f in sorted(classifier.features(r.text or "")))
+        low = [1 / (1 + np.exp(s - t)) for t in model.thresholds]
+        assert abs(r.p_toxic - low[0]) < 1e-9 and abs(r.p_good - (1 - low[1])) < 1e-9 and abs(r.expected_grade - (2 - low[0] - low[1])) < 1e-9 and r.kept == (r.p_good >= 0.5)
+
+
+def test_a_filter_above_runs_the_scores_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    plan = classifier.score(docs, classifier.OrdinalModel()).filter("kept").select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") <= 1 and plan.count("judged(") <= 2
