@@ -135,7 +135,7 @@ def pretoken_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
 
 
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_words(words: DataFrame, path: str) -> DataFrame:
     """words: block, bucket, words. The ids of the words, packed. A bucket's rows
     arrive together, each distinct word of it is encoded once, and only one bucket's words are held."""
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -143,7 +143,8 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})._encode_single_piece
+        # Words are what the tokenizer's pattern has matched; here each is one match.
+        encode = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks(path), special_tokens={}).encode_ordinary
         last, known = None, {}
         for batch in batches:
             for r in range(batch.num_rows):
@@ -154,7 +155,7 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
                 for w in unpack_words(batch.column(2)[r].as_py()):
                     ids = known.get(w)
                     if ids is None:
-                        known[w] = ids = encode(w)
+                        known[w] = ids = encode(w.decode())
                     own.append(ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), pa.array([pack_ids(own)], pa.binary())], ["block", "bucket", "ids"])
 
@@ -167,7 +168,7 @@ def _coded_blocks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks, _ = written_by(pretoken_blocks(docs, pattern, 4 * parts), "pretokens", "block", parts)
     words = blocks.select("block", F.posexplode("words").alias("bucket", "words")).filter(F.length("words") > 0)
-    coded = encode_words(words, path, pattern)
+    coded = encode_words(words, path)
     known = coded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("coded"))
     return blocks.drop("words").join(known.hint("merge"), "block", "left").select("chunk_words", "chunk_sizes", "ids", "places", "coded")
 
@@ -227,6 +228,24 @@ def decode_documents(coded: DataFrame, path: str | None = None, digest: bool = F
     return coded.mapInArrow(lambda batches: _read_back(batches, own, digest), DIGEST if digest else DECODED)
 
 
+def decode_by_join(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, decoded: the same by a join with the token-byte table, a row for each id, put together again by position. It shuffles a row a token, many
+    times the input (figures in the README), so the registered query looks ids up instead. Null ids count as none; rows that repeat stay."""
+    own = _defaults(path, None)[0]
+    spark = coded.sparkSession
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x.as_buffer(), dtype="<u4").astype(np.int32) if x.is_valid else np.empty(0, np.int32) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "row", "ids"])
+
+    table_of = spark.createDataFrame([(n, b.hex()) for b, n in ranks(own).items()], "id int, bytes string")  # as many rows as the vocabulary has
+    rows = coded.select("doc_id", "ids", F.monotonically_increasing_id().alias("row")).mapInArrow(listed, "doc_id long, row long, ids array<int>")
+    each = rows.select("doc_id", "row", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(table_of), "id", "left")
+    whole = each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", "bytes"))).alias("parts"))
+    return whole.select("doc_id", F.unhex(F.array_join(F.transform("parts", lambda x: x["bytes"]), "")).alias("decoded"))
+
+
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """The contract's columns of ``decode_documents(encode_documents(docs))``, laid out and read back in one worker, so that
     the ids needn't pass through another."""

@@ -21,14 +21,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def gapless(df: DataFrame, group: str, order: list[str], out: str, spread: int = 256, by: list[str] | None = None) -> DataFrame:
+def gapless(df: DataFrame, group: str, order: list[str], out: str, spread: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Numbers the rows of each ``group`` 0, 1, 2 ... without one task per group.
 
-    Rows are dealt to ``spread`` sub-buckets of their group by a hash of ``by`` (the order columns, unless
+    Rows are dealt to ``spread`` (by default as many as there are shuffle partitions, 64 at least) sub-buckets of their group by a hash of ``by`` (the order columns, unless
     said; fewer columns let the pass that counts read less); each sub-bucket is numbered alone and shifted by the counts of those before it. The table of counts has
     at most ``spread`` rows a group. Equal rows are interchangeable, so the numbers are a
     function of the row set up to such swaps."""
     sub = f"__sub_{out}"
+    spread = spread or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.withColumn(sub, F.pmod(F.xxhash64(*(by or order)), F.lit(spread)).cast("int"))
     before = Window.partitionBy(group).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
     shift = (

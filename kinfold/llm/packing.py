@@ -264,7 +264,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     rows, _ = written(cut, "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     where = placement(configurations(histogram, capacity), capacity)
-    ranked = gapless(rows, "length", ["doc_id", "piece", "start", "ids_crc32"], "rank", spread=64, by=["doc_id", "piece"])
+    ranked = gapless(rows, "length", ["doc_id", "piece", "start", "ids_crc32"], "rank", by=["doc_id", "piece"])
     schema = PIECES + ", sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

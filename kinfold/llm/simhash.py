@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .components import connected_components
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -174,7 +174,8 @@ def _verify(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Reco
 def near_links(distinct: DataFrame, longest: int = RUN) -> DataFrame:
     """distinct: fp, no repeats. Links (u, v) whose components are those of all pairs within two bits."""
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = distinct.select("fp").repartition(parts, "fp")  # few bytes that become 64 times as many: so many tasks whatever the size
+    # Few bytes that become 64 times as many: so many tasks, whatever their size. By a hash, as a shuffle by the key itself would be taken for the one below it and merged.
+    spread = distinct.select("fp").repartition(parts, F.xxhash64("fp"))
     sorted_ = spread.mapInArrow(_variants, "key long, fp long").repartition(parts, "key").sortWithinPartitions("key", "fp")
     found, _ = written(sorted_.mapInArrow(partial(_verify, longest=longest), "u long, v long"), "found")
     return found
@@ -331,10 +332,9 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def proposed_links(distinct: DataFrame) -> DataFrame:
     """distinct: a, b, no repeats. Proposed links (a, b, c, d), each once."""
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = distinct.select("a", "b").repartition(parts, "a", "b")
+    spread = distinct.select("a", "b").repartition(parts, F.xxhash64("a", "b"))
     runs = spread.mapInArrow(_wide_variants, "key int, a long, b long").repartition(parts, "key").sortWithinPartitions("key", "a", "b")
-    found, _ = written(runs.mapInArrow(_propose, "a long, b long, c long, d long"), "proposed")
-    return found.distinct()
+    return runs.mapInArrow(_propose, "a long, b long, c long, d long").distinct()
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -361,19 +361,22 @@ def similar_classes(docs: DataFrame, *beside: Column, words: int = SHINGLE, simi
     prints, _ = written(_wide_prints(docs, mark.alias("__mark"), *beside), "wide")
     contents = prints.groupBy("a", "b", "content").agg(F.min("__mark").alias("mark"))
     first = contents.groupBy("a", "b").agg(F.min("content").alias("first"))
-    links = proposed_links(first)
+    links, proposed = written(proposed_links(first), "proposed")
     second = first.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("first").alias("v"))
     between = links.join(first, ["a", "b"]).join(second, ["c", "d"]).select(F.col("first").alias("u"), "v")
     within = contents.join(first, ["a", "b"]).filter("content <> first").select(F.col("first").alias("u"), F.col("content").alias("v"))
-    pairs, _ = written(between.unionByName(within), "pairs")
+    pairs, paired = written(between.unionByName(within), "pairs")
+    discard(docs.sparkSession, proposed)
     asked = pairs.select(F.col("u").alias("content")).unionByName(pairs.select(F.col("v").alias("content"))).distinct()
     marks = contents.join(asked, "content", "left_semi").select("content", F.col("mark").alias("__mark"))
     texts = docs.select("text", mark.alias("__mark")).join(marks, "__mark").dropDuplicates(["content"])
-    sets, _ = written(_shingle_sets(texts, words), "shingles")
+    sets, shingled = written(_shingle_sets(texts, words), "shingles")
     of = lambda x: sets.select(F.col("content").alias(x), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("su", "sv"))
     alike = pairs.join(of("u"), "u").join(of("v"), "v").filter(common >= similarity * (F.size("su") + F.size("sv") - common) - 1e-9)
     roots = connected_components(alike.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")))
+    for path in (paired, shingled):  # the components are a table of their own
+        discard(docs.sparkSession, path)
     rest = [c for c in prints.columns if c not in ("a", "b", "content", "__mark")]
     own = prints.withColumn("__id", F.xxhash64("content"))
     return own.join(roots, own["__id"] == roots["id"], "left").select("content", F.coalesce("root", "__id").alias("root"), *rest)

@@ -33,6 +33,7 @@ def test_encode_and_decode(spark, clashing):
     want = sorted((str(k), len(ids), digest(" ".join(map(str, ids)).encode()), digest((t or "").encode())) for k, t in docs for ids in [e.encode_ordinary(t or "")])
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.decode_documents(coded, digest=True).collect()) == want
     assert sorted(bytes(r.decoded) for r in bpe.decode_documents(coded).collect()) == sorted((t or "").encode() for _, t in docs)
+    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in bpe.decode_by_join(coded).collect()) == sorted((str(k), (t or "").encode()) for k, t in docs)
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(clashing(docs)).collect()) == want
     assert bpe.encode_documents(clashing(docs).limit(0)).count() == 0
 
