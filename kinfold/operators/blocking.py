@@ -57,10 +57,15 @@ def statistics(keys: DataFrame, total: int) -> DataFrame:
     return keys.groupBy("country", "key").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", T.micro_idf(total, F.col("df")))
 
 
-def rarest(keys: DataFrame, stats: DataFrame, n: int, ceiling: int | None = None) -> DataFrame:
-    """Each record's n rarest keys that the pool has; then those above the ceiling go."""
+def ranked(keys: DataFrame, stats: DataFrame, n: int) -> DataFrame:
+    """Each record's n rarest keys that the pool has, with their rank ``rk``."""
     rank = F.row_number().over(Window.partitionBy("entity_id").orderBy("df", "key"))
-    kept = keys.join(stats, ["country", "key"]).withColumn("rk", rank).filter(F.col("rk") <= n).drop("rk")
+    return keys.join(stats, ["country", "key"]).withColumn("rk", rank).filter(F.col("rk") <= n)
+
+
+def rarest(keys: DataFrame, stats: DataFrame, n: int, ceiling: int | None = None) -> DataFrame:
+    """The same without the rank; those above the ceiling go."""
+    kept = ranked(keys, stats, n).drop("rk")
     return kept if ceiling is None else kept.filter(F.col("df") <= ceiling)
 
 
@@ -103,9 +108,13 @@ class Index:
     def skeletons(self, records: DataFrame) -> DataFrame:
         return tokens(records, "name_tokens").select("entity_id", "country", T.consonants(F.col("key")).alias("key")).filter(F.length("key") >= 3)
 
+    def rare_tokens(self, records: DataFrame) -> DataFrame:
+        """The rarest name tokens with their ranks, as many as any scheme asks for: what reads them shares one plan and so one shuffle."""
+        return ranked(tokens(records, "name_tokens"), self.tok_stats, max(self.knobs.rare, self.knobs.pair_tokens))
+
     def pairs(self, records: DataFrame) -> DataFrame:
         """Unordered pairs of a record's rarest tokens; built from one array a record, without a self-join."""
-        few = rarest(tokens(records, "name_tokens"), self.tok_stats, self.knobs.pair_tokens)
+        few = self.rare_tokens(records).filter(F.col("rk") <= self.knobs.pair_tokens)
         sets = few.groupBy("entity_id", "country").agg(F.collect_list("key").alias("ks"))
         each = sets.select("entity_id", "country", "ks", F.explode("ks").alias("a"))
         return each.select("entity_id", "country", "a", F.explode("ks").alias("b")).filter("b > a").select("entity_id", "country", F.concat_ws("|", "a", "b").alias("key"))
@@ -128,7 +137,7 @@ class Index:
     def queries(self, s1: DataFrame) -> dict[str, DataFrame]:
         k = self.knobs
         return {
-            "b": rarest(tokens(s1, "name_tokens"), self.tok_stats, k.rare, k.token_max_df),
+            "b": self.rare_tokens(s1).filter((F.col("rk") <= k.rare) & (F.col("df") <= k.token_max_df)).drop("rk"),
             "c": rarest(self.skeletons(s1), self.skel_stats, k.rare, k.skeleton_max_df),
             "e": rarest(tokens(s1, "addr_tokens"), self.atok_stats, k.addr_rare, k.addr_max_df),
             "f": rarest(self.pairs(s1), self.pair_stats, k.pairs, k.pair_max_df),

@@ -151,3 +151,8 @@ def tfidf_top(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, le
     a, b = unit(q, "qid").withColumnRenamed("w", "wq").withColumnRenamed("norm", "nq"), unit(c, "cid").withColumnRenamed("w", "wc").withColumnRenamed("norm", "nc")
     dots = a.join(b, "g").groupBy("qid", "cid").agg(F.sum((F.col("wq") * F.col("wc")).cast("decimal(38,0)")).cast("double").alias("dot"), F.max("nq").alias("nq"), F.max("nc").alias("nc"))
     return _top(dots.select("qid", "cid", F.round(F.col("dot") / (F.col("nq") * F.col("nc")), 6).alias("score")).filter(F.col("score") > least), top)
+
+
+def tfidf_matches(found: DataFrame, at: float = 0.85) -> DataFrame:
+    """Of ``tfidf_top`` what is near enough to be taken for a match."""
+    return found.filter(F.col("score") >= at).select("qid", "cid", "score")

@@ -13,7 +13,7 @@ from ..operators import selection as S
 from ..session import table
 from ..sources import io
 from . import fixtures as fx
-from .queries import _ann, _base, _index, _kept, _probs, _split, _table, _truth, _union, _vector_pairs, register
+from .queries import _ann, _base, _index, _kept, _probs, _split, _table, _tfidf, _truth, _union, _vector_pairs, register
 
 _FLAGS = [f"by_{s}" for s in B.SCHEMES]
 
@@ -136,3 +136,17 @@ def entity_sample(spark, d):
     few = P.sample_rows(_split(spark, d)[0].select("entity_id"), 50, "entity_id").withColumnRenamed("entity_id", "s1_id")
     return _union(spark, d, False, "fair").join(few, "s1_id", "left_semi").select("s1_id", "cand_id", "rnk")
 
+
+
+@register("tfidf_matches", """SELECT qid, cid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM (
+  SELECT a.id AS qid, b.id AS cid, round(sum(a.w::HUGEINT * b.w)::DOUBLE / (max(a.norm) * max(b.norm)), 6) AS score FROM uq a JOIN uc b USING (g) GROUP BY ALL) WHERE score > 0.05) WHERE rank <= 25 AND score >= 0.85""")
+def tfidf_matches(spark, d):
+    return R.tfidf_matches(_tfidf(spark, d), 0.85)
+
+
+@register("text_vectors")
+def text_vectors(spark, d):
+    """Hashed trigram vectors of the names, as the default encoder makes them; components in thousandths."""
+    s1, _ = _split(spark, d)
+    v = R.hashed_embedding(s1.select("entity_id", "name_text"), "name_text", 64)
+    return v.select("entity_id", F.transform("v", lambda x: F.round(x * 1000).cast("int")).alias("v"))

@@ -341,13 +341,15 @@ def gate(spark, d):
 @register("tfidf_topn", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM (
   SELECT a.id AS qid, b.id AS cid, round(sum(a.w::HUGEINT * b.w)::DOUBLE / (max(a.norm) * max(b.norm)), 6) AS score FROM uq a JOIN uc b USING (g) GROUP BY ALL) WHERE score > 0.05) WHERE rank <= 25""")
 def tfidf_topn(spark, d):
+    return _tfidf(spark, d)
+
+
+def _tfidf(spark, d):
     s1, pool = _split(spark, d)
     of = lambda df: df.select(F.col("entity_id").alias("id"), F.col("name_tokens").alias("tokens"))
     return R.tfidf_top(of(s1), of(pool), pool.count())
 
 
-
-
 # Sinks, splits, exploration
 @register("match_tsv", "SELECT s.entity_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY cand_id), '') AS matched_entity_ids FROM s1 s LEFT JOIN approx ON approx.s1_id = s.entity_id GROUP BY 1")
 def match_tsv(spark, d):

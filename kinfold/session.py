@@ -79,6 +79,13 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediates of a session. Results that haven't been written yet can't be read any more."""
+    for path, (own, _) in list(_written.items()):
+        if own is spark:
+            discard(spark, path)
+
+
 @atexit.register
 def _discard_all() -> None:
     for path, (spark, _) in list(_written.items()):

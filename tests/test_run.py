@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from kinfold.functions import text as TX
 from kinfold.operators import blocking as B
 from kinfold.operators import features as X
 from kinfold.operators import learn as L
@@ -109,6 +110,81 @@ def test_matrix_and_learning(spark, tmp_path):
     assert set(L.PARAMETER_SETS) >= {"reference"} and len(L.PARAMETER_SETS) == 5
 
 
+def plain_features(s, c, pair, df, total, names, rivals):
+    """The features of one pair, record by record, without any table. df: (country, word): occurrences in the pool."""
+    import math
+
+    from kinfold.functions import similarity as sim
+
+    idf = lambda w: math.floor(math.log(1 + total / df[s["country"], w]) * 1e6 + 0.5) if (s["country"], w) in df else None
+    weight = lambda ws: sum(idf(w) or 0 for w in ws)
+    jac = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+
+    def sound(w):
+        import re
+
+        for pattern, to in TX.SOUND_RULES:
+            w = re.sub(pattern, to.replace("$1", r"\1"), w)
+        return w
+
+    st, ct = set(s["name_tokens"]), set(c["name_tokens"])
+    ss, cs = ({k for k in map(sound, x) if len(k) >= 2} for x in (st, ct))
+    sa, ca, sn, cn = (set(r[f]) for f in ("addr_tokens", "addr_nums") for r in (s, c))
+    sf, cf = (set(r["name_suffix"].split()) for r in (s, c))
+    lone = lambda own, other, heard: [w for w in own if w not in other and sound(w) not in heard]
+    extra, missing = lone(ct, st, ss), lone(st, ct, cs)
+    heaviest = lambda ws: max((16_000_000 if idf(w) is None else idf(w) for w in ws), default=0)
+    a, b = s["name_text"], c["name_text"]
+    key, same = (c["country"], c["name_key"]), rivals.get((c["country"], c["name_key"]), [])
+    others = [r for r in same if r["entity_id"] != s["entity_id"]] if len(same) <= 50 else []
+    best = max((jac(set(r["addr_tokens"]), ca) for r in others), default=None)
+    flags = [pair[f"by_{n}"] for n in B.SCHEMES]
+    return {
+        "n_token_set": sim.token_set_ratio(a, b), "n_token_sort": sim.token_sort_ratio(a, b), "n_partial": sim.partial_ratio(a, b), "n_jaro": sim.jaro_winkler(a, b), "n_prefix": sim.ratio(a[:12], b[:12]),
+        "n_jacc": jac(st, ct), "n_idf_cover_s1": weight(st & ct) / weight(st) if weight(st) else 0.0, "n_idf_cover_c": weight(st & ct) / weight(ct) if weight(ct) else 0.0,
+        "n_len_ratio": min(len(a), len(b)) / max(len(a), len(b)) if a or b else 0.0, "n_tok_diff": abs(len(st) - len(ct)), "n_exact_key": s["name_key"] == c["name_key"] != "",
+        "n_suffix_agree": bool(sf & cf), "n_suffix_conflict": bool(sf and cf and not sf & cf), "n_skel_jacc": jac(ss, cs), "n_skel_ratio": sim.ratio(" ".join(sorted(ss)), " ".join(sorted(cs))),
+        "n_extra_cnt": len(extra), "n_extra_max_idf": heaviest(extra), "n_missing_cnt": len(missing), "n_missing_max_idf": heaviest(missing),
+        "a_token_set": sim.token_set_ratio(" ".join(sa), " ".join(ca)), "a_jacc": jac(sa, ca), "a_post_match": s["postcode"] == c["postcode"] != "", "a_post_both": s["postcode"] != "" != c["postcode"],
+        "a_num_overlap": jac(sn, cn), "a_num_both": bool(sn and cn), "a_empty_either": s["addr_empty"] or c["addr_empty"], **{f"b_by_{n}": f for n, f in zip(B.SCHEMES, flags)}, "b_n_schemes": sum(flags),
+        "b_idf_score": pair["idf_score"], "b_shared": pair["shared"], "b_containment": pair["containment"] or 0.0, "b_rank": pair["rnk"], "c_source": int(c["entity_id"][1]), "c_same_country": s["country"] == c["country"],
+        "x_s1_name_dup": max(1, names.get((s["country"], s["name_key"]), 0)), "x_c_name_s1cnt": names.get(key, 0), "x_rival_addr": best,
+        "x_rival_addr_adv": None if best is None else best - jac(sa, ca), "x_rival_num": max((bool(set(r["addr_nums"]) & cn) for r in others), default=None),
+    }
+
+
+def test_matrix_against_plain_pairs(spark):
+    from collections import Counter
+
+    import __spark_entry__ as entry
+    from kinfold.plans import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    rec = {r.entity_id: r.asDict() for r in fx.records(spark, sf).collect()}
+    s1, pool = ([r for r in rec.values() if (r["side"] == 0) == own] for own in (True, False))
+    df = Counter((r["country"], w) for r in pool for w in r["name_tokens"])
+    named = {}
+    for r in s1:
+        if r["name_key"]:
+            named.setdefault((r["country"], r["name_key"]), []).append(r)
+    names = {k: len(v) for k, v in named.items()}
+    pairs = {(r.s1_id, r.cand_id): r for r in entry.queries()["union_fair"](spark, sf).filter("rnk <= 100").collect()}
+    got = {(r.s1_id, r.cand_id): r for r in entry.queries()["feature_matrix"](spark, sf).collect()}
+    assert set(got) == set(pairs)
+    lists = {}
+    for k, pair in pairs.items():
+        want = plain_features(rec[k[0]], rec[k[1]], pair, df, len(pool), names, named)
+        lists.setdefault(k[0], []).append((-(0.6 * want["n_token_set"] + 0.4 * want["n_idf_cover_s1"]), k[1]))
+        for column, value in want.items():
+            own = got[k][column]
+            assert (own is None) == (value is None) and (own is None or abs(own - float(value)) <= 1e-4 * max(1.0, abs(float(value)))), (k, column, own, value)
+    for s, own in lists.items():
+        own.sort()
+        for i, (score, c) in enumerate(own, 1):
+            r = got[s, c]
+            assert r.g_n_cands == len(own) and abs(r.g_rank_frac - i / len(own)) < 1e-5 and r.g_is_top == (i == 1) and abs(r.g_score_margin - (own[0][0] - score)) < 1e-5
+
+
 def test_repairs_choose_the_right_owner(spark):
     rows = [("a", "x", 0.9), ("a", "y", 0.8), ("b", "x", 0.7), ("b", "z", 0.95), ("c", "z", 0.95), ("c", "w", 0.6)]
     probs = spark.createDataFrame(rows, "s1_id string, cand_id string, p double")
