@@ -79,12 +79,16 @@ STOP_WORDS = ("and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "
 
 def word_ngrams(tokens: Column, hi: int = 2, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Runs of 1 to ``hi`` words, joined by a space; stop words are taken out first."""
-    def of(n: int, kept: Column) -> Column:
-        last = F.size(kept) - (n - 1)
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(kept, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    kept = without(tokens, stop)
-    return F.flatten(F.transform(F.array(kept), lambda k: F.flatten(F.array(*[of(n, k) for n in range(1, hi + 1)]))))
+    def grow(kept: Column) -> Column:
+        """The runs of each length, from those one word shorter and the words that follow them."""
+        out, runs = [kept], kept
+        for n in range(2, hi + 1):
+            last = F.greatest(F.size(kept) - (n - 1), F.lit(0))
+            runs = F.zip_with(F.slice(runs, F.lit(1), last), F.slice(kept, F.lit(n), last), lambda a, b: F.concat(a, F.lit(" "), b))
+            out.append(runs)
+        return F.concat(*out)
+
+    return F.element_at(F.transform(F.array(without(tokens, stop)), grow), 1)
 
 
 # Words that the second prototype cleaner respells.

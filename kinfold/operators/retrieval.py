@@ -133,24 +133,68 @@ def gate(truth: DataFrame, blocked: DataFrame, ann: DataFrame, k: int) -> DataFr
     return hit.agg(F.count(F.lit(1)).alias("n_true"), F.sum("d").alias("blocked"), F.sum("a").alias("retrieved"), F.sum(F.col("d") * F.col("a")).alias("both"), F.sum(F.greatest("d", "a")).alias("either"))
 
 
-def tfidf_top(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, least: float = 0.05, lo: int = 2, hi: int = 4, max_df: int | None = None) -> DataFrame:
-    """Sparse cosine of character n-grams: qid, cid, score, rank, scores over ``least``. queries, pool: id, tokens. Weights are
-    count x ln(1 + total / df); grams in over ``max_df`` pool records can be left out."""
+def _gram_weights(queries: DataFrame, pool: DataFrame, total: int, lo: int, hi: int, max_df: int | None) -> tuple[DataFrame, DataFrame]:
+    """qid, g, w and cid, g, w: counts of character n-grams x ln(1 + total / df) in millionths; grams that the pool lacks weigh nothing."""
     grams = lambda df, key: df.select(F.col("id").alias(key), F.explode("tokens").alias("t")).select(key, F.explode(T.char_ngrams(F.col("t"), lo, hi)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("tf"))
     c, q = grams(pool, "cid"), grams(queries, "qid")
     stats = c.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     if max_df:
         stats = stats.filter(F.col("df") <= max_df)
     stats = stats.withColumn("idf", T.micro_idf(total, F.col("df")))
+    weighed = lambda df, key: df.join(stats, "g").select(key, "g", (F.col("tf") * F.col("idf")).alias("w"))
+    return weighed(q, "qid"), weighed(c, "cid")
+
+
+def tfidf_top(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, least: float = 0.05, lo: int = 2, hi: int = 4, max_df: int | None = None, block: int = 1024, cell: int = 4096) -> DataFrame:
+    """Sparse cosine of character n-grams: qid, cid, score, rank, scores over ``least``. queries, pool: id, tokens. Grams in over ``max_df`` pool
+    records can be left out.
+
+    Nearly all names share some short gram, so a join on grams makes more rows than there are pairs. Here blocks of queries meet cells of the
+    pool: a cell's grams are an inverted index in arrays, a query adds up its postings in it, and each cell keeps a query's best. Weights are whole millionths,
+    so sums are exact in 64 bits in any order (records of some hundred grams at most)."""
+    a, b = _gram_weights(queries, pool, total, lo, hi, max_df)
+    listed = lambda df, key: df.groupBy(key).agg(F.collect_list(F.struct(F.xxhash64("g").alias("g"), "w")).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("norm")).select(key, F.col("x.g").alias("g"), F.col("x.w").alias("w"), "norm")
+    left, right = listed(a, "qid"), listed(b, "cid")
+    sizes = left.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nq")).crossJoin(right.agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("nc"))).filter("nq > 0 AND nc > 0")  # one row
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.crossJoin(F.broadcast(sizes)).select(dealt("qid", "nq").alias("i"), each("nc").alias("j"), "qid", "g", "w", "norm")
+    right = right.crossJoin(F.broadcast(sizes)).select(each("nq").alias("i"), dealt("cid", "nc").alias("j"), "cid", "g", "w", "norm")
+
+    def meet(q, c):
+        import pandas as pd
 
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        w = df.join(stats, "g").withColumn("w", F.col("tf") * F.col("idf"))
-        norm = w.groupBy(key).agg(F.sqrt(F.sum((F.col("w") * F.col("w")).cast("decimal(38,0)")).cast("double")).alias("norm"))
-        return w.select(key, "g", "w").join(norm, key)
-
-    a, b = unit(q, "qid").withColumnRenamed("w", "wq").withColumnRenamed("norm", "nq"), unit(c, "cid").withColumnRenamed("w", "wc").withColumnRenamed("norm", "nc")
-    dots = a.join(b, "g").groupBy("qid", "cid").agg(F.sum((F.col("wq") * F.col("wc")).cast("decimal(38,0)")).cast("double").alias("dot"), F.max("nq").alias("nq"), F.max("nc").alias("nc"))
-    return _top(dots.select("qid", "cid", F.round(F.col("dot") / (F.col("nq") * F.col("nc")), 6).alias("score")).filter(F.col("score") > least), top)
+        out = []
+        if len(q) and len(c):
+            c = c.sort_values("cid", kind="stable")
+            size = c["g"].map(len).to_numpy()
+            gram, weight, row = np.concatenate(c["g"].to_list()), np.concatenate(c["w"].to_list()), np.repeat(np.arange(len(c)), size)
+            order = np.argsort(gram, kind="stable")
+            gram, weight, row = gram[order], weight[order], row[order]
+            ids, norms = c["cid"].to_numpy(), c["norm"].to_numpy()
+            for key, gs, ws, norm in zip(q["qid"], q["g"], q["w"], q["norm"], strict=True):
+                dot = np.zeros(len(c), dtype=np.int64)
+                for s, e, w in zip(np.searchsorted(gram, gs, "left").tolist(), np.searchsorted(gram, gs, "right").tolist(), ws.tolist(), strict=True):
+                    dot[row[s:e]] += w * weight[s:e]  # a gram names a record once
+                score = dot / (norm * norms)
+                good = np.flatnonzero(score > least - 1e-6)
+                if len(good) > top:  # with those that rounding could make equal to the last
+                    good = good[score[good] >= np.partition(score[good], len(good) - top)[len(good) - top] - 1e-6]
+                out.append(pd.DataFrame({"qid": [key] * len(good), "cid": ids[good], "dot": dot[good].astype(float), "n": norm * norms[good]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": q["qid"][:0], "cid": c["cid"][:0], "dot": np.empty(0), "n": np.empty(0)})
+
+    kinds = f"qid {queries.schema['id'].dataType.simpleString()}, cid {pool.schema['id'].dataType.simpleString()}, dot double, n double"
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, kinds)
+    return _top(found.select("qid", "cid", F.round(F.col("dot") / F.col("n"), 6).alias("score")).filter(F.col("score") > least), top)
+
+
+def tfidf_join(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, least: float = 0.05, lo: int = 2, hi: int = 4, max_df: int | None = None) -> DataFrame:
+    """The same by a join on grams, in built-in functions: for rare grams (a low ``max_df``), and as the plain form of ``tfidf_top``."""
+    a, b = _gram_weights(queries, pool, total, lo, hi, max_df)
+    norm = lambda df, key, out: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias(out))
+    dots = a.withColumnRenamed("w", "wq").join(b.withColumnRenamed("w", "wc"), "g").groupBy("qid", "cid").agg(F.sum(F.col("wq") * F.col("wc")).cast("double").alias("dot"))
+    scored = dots.join(norm(a, "qid", "nq"), "qid").join(norm(b, "cid", "nc"), "cid")
+    return _top(scored.select("qid", "cid", F.round(F.col("dot") / (F.col("nq") * F.col("nc")), 6).alias("score")).filter(F.col("score") > least), top)
 
 
 def tfidf_matches(found: DataFrame, at: float = 0.85) -> DataFrame:

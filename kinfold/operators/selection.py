@@ -37,20 +37,22 @@ def _convolve(dist: Column, p: Column) -> Column:
 def expected_f05(ps: Column) -> Column:
     """ps: descending probabilities, at most ``CAP``. Array of struct(k, e): the exact expected F0.5 of choosing
     the first k, k = 0 .. n, with pairs independent. Entry 0 is the chance that there is no match."""
-    one = F.array(F.lit(1.0))
-    dist = lambda xs: F.aggregate(xs, one, _convolve)
-
-    def value(k: Column) -> Column:
-        both = F.struct(dist(F.slice(ps, F.lit(1), k)).alias("hits"), dist(F.slice(ps, k + 1, F.size(ps))).alias("rest"))
-
-        def mean(x: Column) -> Column:  # x is bound, so that neither distribution is computed again in the loops
-            inner = lambda a, h: F.aggregate(F.transform(x["rest"], lambda b, r: a * b * 1.25 * h / (k + 0.25 * (h + r))), F.lit(0.0), lambda t, y: t + y)
-            e = F.aggregate(F.transform(x["hits"], inner), F.lit(0.0), lambda t, y: t + y)
-            return F.struct(k.alias("k"), F.when(k == 0, F.element_at(x["rest"], 1)).otherwise(e).alias("e"))
-
-        return F.element_at(F.transform(F.array(both), mean), 1)
-
-    return F.transform(F.sequence(F.lit(0), F.size(ps)), value)
+    start = F.array(F.array(F.lit(1.0)))
+    grown = lambda xs: F.aggregate(xs, start, lambda rows, p: F.array_append(rows, _convolve(F.element_at(rows, -1), p)))
+    n = F.size(ps)
+
+    def values(both: Column) -> Column:  # both is bound, so that no distribution is computed again for another k
+        def value(k: Column) -> Column:
+            hits, rest = F.element_at(both["first"], k + 1), F.element_at(both["last"], n - k + 1)
+            inner = lambda a, h: F.aggregate(F.transform(rest, lambda b, r: a * b * 1.25 * h / (k + 0.25 * (h + r))), F.lit(0.0), lambda t, y: t + y)
+            e = F.aggregate(F.transform(hits, inner), F.lit(0.0), lambda t, y: t + y)
+            return F.struct(k.alias("k"), F.when(k == 0, F.element_at(rest, 1)).otherwise(e).alias("e"))
+
+        return F.transform(F.sequence(F.lit(0), n), value)
+
+    # Of each number of likeliest pairs and of each number of the others: how many hits there are, each list from the one before it.
+    both = F.struct(grown(ps).alias("first"), grown(F.reverse(ps)).alias("last"))
+    return F.element_at(F.transform(F.array(both), values), 1)
 
 
 def select_exact(probs: DataFrame, cap: int = CAP) -> DataFrame:

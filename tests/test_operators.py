@@ -71,6 +71,12 @@ def test_retrieval_forms_agree(spark):
     c = spark.createDataFrame(vectors[30:], "cid long, grp string, v array<long>")
     rows = lambda df: sorted((r.qid, r["rank"], r.cid, float(r.score)) for r in df.collect())
     assert rows(R.knn(q, c, 4, block=7, cell=5)) == rows(R.knn_sql(q, c, 4))
+    names = [(i, ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(0, 4))]) for i in range(120)]
+    of = lambda rows: spark.createDataFrame(rows, "id long, tokens array<string>")
+    for max_df in (None, 6):
+        one, two = (sorted((r.qid, r["rank"], r.cid, r.score) for r in f(of(names[:40]), of(names[40:]), 80, top=7, max_df=max_df, **kw).collect()) for f, kw in ((R.tfidf_top, {"block": 9, "cell": 13}), (R.tfidf_join, {})))
+        assert one == two and one
+    assert R.tfidf_top(of([]), of(names), 120).count() == 0 and R.tfidf_top(of(names), of([]), 0).count() == 0
     texts = spark.createDataFrame([(1, "abcd"), (2, "abcd"), (3, None), (4, "zzzz")], "id long, t string")
     v = {r.id: r.v for r in R.hashed_embedding(texts, "t", 64).collect()}
     assert v[1] == v[2] and abs(sum(x * x for x in v[1]) - 1) < 1e-5 and v[3] is not None
