@@ -40,7 +40,7 @@ SELF_CLOSING = {"li": ("li", ("ul", "ol")), "dt": ("dd dt", ("dl",)), "dd": ("dd
 ASIDE_TAGS = frozenset("nav header footer aside form button dialog menu head".split())
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar"
-    " aside contentinfo complementary cookie cookies consent notice alert popup modal newsletter subscribe share sharing social related comment comments respond reply disqus form login search".split()
+    " aside contentinfo complementary cookie cookies consent notice alert popup modal newsletter subscribe share sharing social related comment comments commentlist commentform respond reply disqus form login search adsbygoogle adbox adslot topbar toolbar pagination pager gdpr widget widgets notification notifications".split()
 )
 MAIN = frozenset(("article", "main"))
 FRAME = frozenset(("html", "body", "main"))  # never set aside, whatever their names

@@ -31,6 +31,7 @@ CLASSES = 64  # length classes of a full sequence; up to twice that capacity eve
 ROUNDS = 1500  # of the multiplicative weights, at most
 RATE = 10.0  # by how much a price falls (in the logarithm) for a class that is covered as often again
 SOLVES = 8  # how often the program is solved, at most; best fit takes what is left then
+LOOSE = 2  # the last of them, whose sequences needn't be full to the end
 NEAR = 4  # classes that the last two lengths of a sequence may stray
 
 
@@ -108,8 +109,9 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> Packing:
         use({capacity: 1}, int(left[capacity]))
     width = max(1, capacity // CLASSES)
     of = np.maximum(1, (np.arange(capacity + 1) + width // 2) // width)  # a length's class is the nearest multiple of the width
-    rounded = 0
+    rounded, full = 0, True
     for solve in range(SOLVES):
+        full = full and solve < SOLVES - LOOSE
         have = np.flatnonzero(left)
         if not len(have):
             break
@@ -127,10 +129,11 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> Packing:
             times = int(x + 1e-9)
             if times == 0 and took:
                 break
-            took += _instantiate(np.repeat(size, counts)[::-1].tolist(), max(1, times), left, width, use)
+            took += _instantiate(np.repeat(size, counts)[::-1].tolist(), max(1, times), left, width, full, use)
         rounded += took
-        if not took:
+        if not took and not full:
             break
+        full = full and took > 0  # where lengths fill no sequence to the end, room is left from the start
     while True:  # best fit decreasing: each round uses up a length, or all it can of the fullest fit
         config = _filled({}, left, capacity)
         if not config:
@@ -152,9 +155,10 @@ def _multiplicity(config: dict[int, int], left: np.ndarray) -> int:
     return min(int(left[n]) // k for n, k in config.items())
 
 
-def _instantiate(classes: list[int], times: int, left: np.ndarray, width: int, use) -> int:
+def _instantiate(classes: list[int], times: int, left: np.ndarray, width: int, full: bool, use) -> int:
     """Sequences of a configuration of classes, longest first, ``times`` at most: lengths of the classes take their place, the commonest
-    first, the last two so that they fill the room to the end, or else the longest that fits. What room is left takes best fit."""
+    first, the last two so that they fill the room to the end, or else the longest that fits. What room is left takes best fit; with ``full`` a
+    sequence that has room even then isn't made, and its pieces wait for the next solve."""
     capacity, done = len(left) - 1, 0
 
     def span(c: int, stray: int = 0) -> tuple[int, int]:
@@ -196,6 +200,8 @@ def _instantiate(classes: list[int], times: int, left: np.ndarray, width: int, u
             config[n] += 1
             room -= n
         whole = _filled(dict(config), left, room)
+        if full and sum(n * k for n, k in whole.items()) < capacity:
+            return done
         now = min(times - done, _multiplicity(whole, left))
         use(whole, now)
         done += now
