@@ -81,8 +81,12 @@ def sample_rows(df: DataFrame, n: int, key: str, salt: str = "sample") -> DataFr
 def country_batches(pairs: DataFrame, countries: DataFrame, size: int, salt: str = "batch") -> DataFrame:
     """Adds country, batch and place: training pairs in batches of one country each, in an order that is the same on every run. The last batch of a
     country is left out if it isn't full. pairs: s1_id, cand_id; countries: s1_id, country."""
-    order = Window.partitionBy("country").orderBy(_shuffled(salt), "cand_id")
-    dealt = pairs.join(countries, "s1_id").withColumn("at", F.row_number().over(order) - 1)
-    n = F.count(F.lit(1)).over(Window.partitionBy("country", "batch"))
+    keyed = pairs.join(countries, "s1_id").withColumn("h", _shuffled(salt)).withColumn("sub", F.substring("h", 1, 2))
+    # A country's order is that of its hashes: numbered by their first two digits apart and shifted, so a country that holds most pairs is 256 groups.
+    counts = keyed.groupBy("country", "sub").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("country").orderBy("sub")
+    shift = counts.select("country", "sub", (F.sum("n").over(upto) - F.col("n")).alias("shift"), F.sum("n").over(Window.partitionBy("country")).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("country", "sub").orderBy("h", "cand_id")) - 1
+    dealt = keyed.withColumn("inside", inside).join(shift, ["country", "sub"]).withColumn("at", F.col("inside") + F.col("shift"))
     dealt = dealt.withColumn("batch", F.floor(F.col("at") / size).cast("int")).withColumn("place", (F.col("at") % size).cast("int"))
-    return dealt.withColumn("n", n).filter(F.col("n") == size).select("country", "batch", "place", *PAIR)
+    return dealt.filter((F.col("batch") + 1) * size <= F.col("total")).select("country", "batch", "place", *PAIR)

@@ -41,7 +41,7 @@ def files(tmp_path, n=90):
 
 def test_a_whole_linkage(spark, tmp_path):
     ids = files(tmp_path)
-    at = run.Settings(str(tmp_path / "work"), shards=2, trees={"depth": 3, "rounds": 4}, conf={"spark.sql.shuffle.partitions": "2"})
+    at = run.Settings(str(tmp_path / "work"), shards=1, trees={"depth": 3, "rounds": 4}, conf={"spark.sql.shuffle.partitions": "2"})
     before = spark.conf.get("spark.sql.shuffle.partitions")
     where = [str(tmp_path / "s2.tsv"), str(tmp_path / "s3.tsv")]
     bad = run.link(spark, str(tmp_path / "s1.tsv"), where, at, truth=str(tmp_path / "truth.tsv"))
