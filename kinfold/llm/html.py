@@ -9,7 +9,8 @@ forms, comments) is no content wherever it stands, as it varies too; an article'
 page's main element or only article.
 
 Pages that say the same outside those parts are copies and count once. A host of which there is only one such page shows
-neither constancy nor variation; there, and only there, content is what stands in an article or main element, if the page has one.
+neither constancy nor variation; there content is what stands in an article or main element, if the page has one. Two pages may say the same by
+chance (an article and its revision): of a host with two, what is constant within an article or main element stays. From three pages on the verdict over the pages decides alone.
 
 What is gathered for each host are counts and extremes of text hashes by tree and slot, so a host that holds a third
 of all pages is as many rows as any other.
@@ -283,17 +284,18 @@ def wrappers(rows: DataFrame) -> DataFrame:
     trees = rows.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.first("tree").alias("tree"))
     first = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "key"))
     reference = trees.withColumn("__r", first).filter("__r = 1").select("host", F.col("tree").alias("reference"))
-    kind = pa.list_(pa.struct([("slot", pa.int32()), ("name", pa.int64()), ("main", pa.bool_())]))
+    kind = pa.list_(pa.struct([("slot", pa.int32()), ("name", pa.int64()), ("inside", pa.bool_()), ("main", pa.bool_())]))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 a, b = (tree_of(batch.column(i)[r].as_py()) for i in (2, 3))
                 _, inside = parts(b)
-                own = [{"slot": n, "name": x, "main": y or not any(inside)} for n, (x, y) in enumerate(zip(names(a, b), inside, strict=True))]
+                none = not any(inside)
+                own = [{"slot": n, "name": x, "inside": y, "main": y or none} for n, (x, y) in enumerate(zip(names(a, b), inside, strict=True))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), pa.array([own], kind)], ["host", "key", "nodes"])
 
-    aligned = trees.join(reference, "host").select("host", "key", "reference", "tree").mapInArrow(named, "host string, key string, nodes array<struct<slot:int,name:long,main:boolean>>")
+    aligned = trees.join(reference, "host").select("host", "key", "reference", "tree").mapInArrow(named, "host string, key string, nodes array<struct<slot:int,name:long,inside:boolean,main:boolean>>")
     nodes = aligned.select("host", "key", F.explode("nodes").alias("x")).select("host", "key", "x.*")
     page = F.xxhash64(F.transform("blocks", lambda b: b["text"]))  # pages of the same texts are copies and count once
     hashed = rows.select("host", "key", page.alias("p"), F.explode("blocks").alias("b")).select("host", "key", "p", "b.slot", F.xxhash64("b.text").alias("h"))
@@ -301,8 +303,9 @@ def wrappers(rows: DataFrame) -> DataFrame:
     joined, _ = written(seen.join(nodes, ["host", "key", "slot"]), "slots")
     one = F.min("first") == F.max("last")
     varies = joined.groupBy("host", "name").agg(((F.min("lo") != F.max("hi")) | one).alias("varies"))
-    alone = joined.groupBy("host").agg(one.alias("alone"))
-    good = joined.join(varies, ["host", "name"]).join(alone, "host").filter((~F.col("alone") & F.col("varies")) | (F.col("alone") & F.col("main")))
+    pages = rows.filter(F.size("blocks") > 0).select("host", page.alias("p")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    verdict = F.when(F.col("pages") == 1, F.col("main")).otherwise(F.col("varies") | ((F.col("pages") == 2) & F.col("inside")))
+    good = joined.join(varies, ["host", "name"]).join(pages, "host").filter(verdict)
     return good.groupBy("host", "key").agg(F.collect_set("slot").alias("content"))
 
 
