@@ -42,16 +42,21 @@ def threshold_sweep(probs: DataFrame, truth: DataFrame, ids: DataFrame, percents
 
     A record with nothing above the threshold is right if it has no match; such records are counted, not listed."""
     spark = probs.sparkSession
+    steps = sorted(percents)
     true = truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("m"))
     n, matchless = ids.join(true, "s1_id", "left").agg(F.count(F.lit(1)), F.count(F.when(F.col("m").isNull(), 1))).first()
-    each = F.explode(F.array(*[F.lit(x) for x in percents])).alias("percent")
     hit = probs.join(truth.select(*PAIR).withColumn("hit", F.lit(1)), PAIR, "left")
-    cut = hit.select("s1_id", "p", "hit", each).filter(F.col("p") >= F.col("percent") / 100.0)
-    sets = cut.groupBy("percent", "s1_id").agg(F.count(F.lit(1)).alias("k"), F.count("hit").alias("h")).join(true, "s1_id", "left")
+    passed = sum(((F.col("p") >= x / 100.0).cast("int") for x in steps), F.lit(0))  # how many thresholds a pair passes: the lowest ones
+    counts = hit.groupBy("s1_id", passed.alias("passed")).agg(F.count(F.lit(1)).alias("k"), F.count("hit").alias("h")).filter("passed > 0")
+    lists = counts.groupBy("s1_id").agg(F.collect_list(F.struct("passed", "k", "h")).alias("x"))  # a list is no longer than the thresholds
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("least"), F.lit(x).alias("percent")) for i, x in enumerate(steps, 1)])).alias("t")
+    over = lambda field: F.aggregate(F.filter("x", lambda y: y["passed"] >= F.col("least")), F.lit(0).cast("long"), lambda t, y: t + y[field]).alias(field)
+    sets = lists.select("s1_id", "x", each).select("s1_id", "x", "t.*").select("s1_id", "percent", over("k"), over("h")).filter("k > 0").join(true, "s1_id", "left")
     score = F.when(F.col("h") == 0, 0.0).otherwise(1.25 * F.col("h") / (F.col("k") + 0.25 * F.coalesce("m", F.lit(0))))
     sums = sets.groupBy("percent").agg(F.sum(score).alias("s"), F.count(F.when(F.col("m").isNull(), 1)).alias("wrong"))
     right = F.coalesce("s", F.lit(0.0)) + F.lit(matchless) - F.coalesce("wrong", F.lit(0))
-    return spark.range(1).select(each).join(sums, "percent", "left").select("percent", F.round(right / F.lit(max(n, 1)), 6).alias("f05"))
+    whole = spark.range(1).select(F.explode(F.array(*map(F.lit, percents))).alias("percent"))
+    return whole.join(sums, "percent", "left").select("percent", F.round(right / F.lit(max(n, 1)), 6).alias("f05"))
 
 
 def country_summary(chosen: DataFrame, s1: DataFrame) -> DataFrame:

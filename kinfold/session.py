@@ -35,19 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset in a local session (tests) a temporary
-    folder takes its place and is set for the context too; on a cluster executors would each write to a disk of their own, so there it is an error."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder that the context was given. Where neither is
+    set in a local session (tests) a temporary folder takes its place and is set for the context too; on a cluster executors would each write to
+    a disk of their own, so there it is an error."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
     if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = getattr(context, "_kinfold_dir", None)
-    if own is None:
-        own = context._kinfold_dir = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        context.setCheckpointDir(own)
-    return own
+    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kinfold-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:

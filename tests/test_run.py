@@ -256,6 +256,21 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in io.read_truth(spark, str(tmp_path / "t.tsv"), some).collect()] == [("S1-2", "S2-9")]
 
 
+def test_intermediates_lie_in_the_shared_folder_and_go(spark):
+    import os
+
+    from kinfold import session
+
+    df, path = session.written(spark.range(3), "one")
+    by, named = session.written_by(spark.range(6).selectExpr("id", "id % 2 AS k"), "two", "k", 2)
+    for p in (path, named):
+        assert p.startswith(session.shared_dir(spark)) and os.path.isdir(p.removeprefix("file:").replace("//", "/"))
+    assert df.count() == 3 and by.count() == 6 and any(t.name.startswith("kinfold_two_") for t in spark.catalog.listTables())
+    session.discard(spark, named)
+    assert not os.path.exists(named.removeprefix("file:")) and not any(t.name.startswith("kinfold_two_") for t in spark.catalog.listTables())
+    session.discard(spark, path)
+
+
 def test_faults_that_the_validator_counts(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("c",)], "entity_id string")
     matches = spark.createDataFrame([("a", "x,y"), ("b", "x"), ("b", "")], "source1_entity_id string, matched_entity_ids string")
