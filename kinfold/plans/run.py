@@ -83,7 +83,7 @@ def link(spark: SparkSession, reference: str, pool: list[str], at: Settings, tru
         with step(spark, "features"):
             made = f"{work}/features"
             if not io.finished(spark, made):
-                X.write_matrix(X.matrix(X.base(found, s1, pool_records, index), s1), made, found.count())
+                X.write_matrix(X.matrix(X.base(found, s1, pool_records, index), s1, pool_records), made, found.count())
             index.unpersist()
             rows = spark.read.parquet(made)
         with step(spark, "learn"):
