@@ -33,3 +33,19 @@ def test_token_set_is_the_best_of_three():
         one, two = (" ".join(filter(None, (both, " ".join(sorted(s))))) for s in (a - b, b - a))
         want = 1.0 if both and (a <= b or b <= a) else max(sim.ratio(one, two), sim.ratio(both, one), sim.ratio(both, two))
         assert sim.token_set_ratio(" ".join(a), " ".join(b)) == want
+
+
+def test_rarest_address_words_without_the_common_ones(spark):
+    """Words above the ceiling that tasks know aren't shuffled, and each record's rarest are those of all its words, repeats included."""
+    from kinfold.operators import blocking as B
+    from kinfold.plans import fixtures as fx
+    from pyspark.sql import functions as F
+
+    s1, pool = fx.split(spark, SF)
+    index = B.Index(pool, B.Knobs(addr_max_df=5))
+    assert index._common and index.awords.agg(F.sum("n")).first()[0] < index.atok.count() / 2
+    for records in (s1, pool):
+        for n, least in ((4, 1), (4, 3), (3, 3)):
+            plain = B.rarest(B.tokens(records, "addr_tokens").filter(F.length("key") >= least), index.atok_stats, n)
+            assert sorted(map(tuple, index.rare_address(records, n, least).collect())) == sorted(map(tuple, plain.select("entity_id", "country", "key", "df", "idf").collect()))
+    index.unpersist()
