@@ -145,21 +145,111 @@ def _gram_weights(queries: DataFrame, pool: DataFrame, total: int, lo: int, hi:
     return weighed(q, "qid"), weighed(c, "cid")
 
 
-def tfidf_top(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, least: float = 0.05, lo: int = 2, hi: int = 4, max_df: int | None = None, block: int = 1024, cell: int = 4096) -> DataFrame:
+GRAMS = 1_000_000  # grams that tasks get the weights of; words of a-z and 0-9 have fewer of 2 to 4 letters in practice, and more are dealt to the cells with the records
+
+
+def tfidf_top(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, least: float = 0.05, lo: int = 2, hi: int = 4, max_df: int | None = None, block: int = 8192, cell: int = 32768, known: int = GRAMS) -> DataFrame:
     """Sparse cosine of character n-grams: qid, cid, score, rank, scores over ``least``. queries, pool: id, tokens. Grams in over ``max_df`` pool
     records can be left out.
 
     Nearly all names share some short gram, so a join on grams makes more rows than there are pairs. Here blocks of queries meet cells of the
-    pool: a cell's grams are an inverted index in arrays, a query adds up its postings in it, and each cell keeps a query's best. Weights are whole millionths,
-    so sums are exact in 64 bits in any order (records of some hundred grams at most)."""
-    a, b = _gram_weights(queries, pool, total, lo, hi, max_df)
-    listed = lambda df, key: df.groupBy(key).agg(F.collect_list(F.struct(F.xxhash64("g").alias("g"), "w")).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("norm")).select(key, F.col("x.g").alias("g"), F.col("x.w").alias("w"), "norm")
-    left, right = listed(a, "qid"), listed(b, "cid")
+    pool: a cell's grams are an inverted index in arrays, a query adds up its postings in it, and each cell keeps a query's best. Only words are dealt to the
+    cells, which cut them into grams themselves and get the weights of all grams; of more than ``known`` grams each record brings its own. Weights are whole
+    millionths, so sums are exact in 64 bits in any order (records of some hundred grams at most)."""
+    whole = lambda df, key: df.groupBy(F.col("id").alias(key)).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    left, right = whole(queries, "qid"), whole(pool, "cid")
+    each = right.select(F.explode(F.array_distinct(F.flatten(F.transform(F.filter("tokens", lambda t: t.isNotNull()), lambda t: T.char_ngrams(t, lo, hi))))).alias("g"))
+    stats = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    if max_df:
+        stats = stats.filter(F.col("df") <= max_df)
+    weights = stats.select("g", T.micro_idf(total, F.col("df")).alias("idf")).limit(known + 1).toArrow() if total > 0 else pa.table({"g": pa.array([], pa.string()), "idf": pa.array([], pa.int64())})
+    if weights.num_rows > known:
+        return _tfidf_dealt(queries, pool, total, top, least, lo, hi, max_df, block // 8, cell // 8)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, weights.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(weights)
+    packed = sink.getvalue().to_pybytes()
+
+    def meet(q, c):
+        import pandas as pd
+
+        none = pd.DataFrame({"qid": q["qid"][:0], "cid": c["cid"][:0], "dot": np.empty(0), "n": np.empty(0)})
+        if not len(q) or not len(c):
+            return none
+        read = pa.ipc.open_stream(packed).read_all()
+        at = {g: i for i, g in enumerate(read.column(0).to_pylist())}
+        idf = read.column(1).to_numpy().astype(np.int64)
+        words: dict[str, np.ndarray] = {}
+
+        def cut(t):
+            if t not in words:
+                p = f" {t} "
+                own = (at.get(p[i : i + n]) for n in range(lo, hi + 1) for i in range(len(p) - n + 1))
+                words[t] = np.array([x for x in own if x is not None], dtype=np.int64)
+            return words[t]
+
+        def vectors(column):
+            """Rows, grams and weights, in order of the rows and then of the grams, and each row's norm."""
+            parts = [[cut(t) for t in tokens if t is not None] for tokens in column]
+            sizes = np.array([sum(map(len, own)) for own in parts], dtype=np.int64)
+            flat = [x for own in parts for x in own]
+            key = np.repeat(np.arange(len(parts)), sizes) * len(idf) + (np.concatenate(flat) if flat else np.empty(0, dtype=np.int64))
+            key, times = np.unique(key, return_counts=True)
+            row, gram = np.divmod(key, max(1, len(idf)))
+            weight = times * idf[gram]
+            squares = np.zeros(len(parts) + 1, dtype=np.int64)
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            if len(row):
+                squares[row[starts]] = np.add.reduceat(weight * weight, starts)
+            return row, gram, weight, np.sqrt(squares[:-1].astype(float))
+
+        c = c.sort_values("cid", kind="stable")
+        row, gram, weight, norms = vectors(c["tokens"])
+        order = np.argsort(gram, kind="stable")
+        row, weight = row[order].astype(np.int32), weight[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(gram, minlength=len(idf)))])
+        ids = c["cid"].to_numpy()
+        norms[norms == 0] = np.inf  # of no gram: near to nothing
+        q_row, q_gram, q_weight, q_norms = vectors(q["tokens"])
+        q_ends = np.searchsorted(q_row, np.arange(len(q) + 1))
+        out, keys = [], q["qid"].to_numpy()
+        for i, key in enumerate(keys):
+            if q_ends[i] == q_ends[i + 1]:
+                continue
+            own = q_gram[q_ends[i] : q_ends[i + 1]]
+            dot = np.zeros(len(ids), dtype=np.int64)
+            for s, e, w in zip(ends[own].tolist(), ends[own + 1].tolist(), q_weight[q_ends[i] : q_ends[i + 1]].tolist(), strict=True):
+                dot[row[s:e]] += w * weight[s:e]  # a gram names a record once
+            score = dot / (q_norms[i] * norms)
+            good = np.flatnonzero(score > least - 1e-6)
+            if len(good) > top:  # with those that rounding could make equal to the last
+                good = good[score[good] >= np.partition(score[good], len(good) - top)[len(good) - top] - 1e-6]
+            if len(good):
+                out.append((key, ids[good], dot[good].astype(float), q_norms[i] * norms[good]))
+        if not out:
+            return none
+        return pd.DataFrame({"qid": np.repeat(np.array([x[0] for x in out], dtype=keys.dtype), [len(x[1]) for x in out]), "cid": np.concatenate([x[1] for x in out]), "dot": np.concatenate([x[2] for x in out]), "n": np.concatenate([x[3] for x in out])})
+
+    return _met(left, right, ("tokens",), meet, block, cell, top, least)
+
+
+def _met(left: DataFrame, right: DataFrame, fields: tuple[str, ...], meet, block: int, cell: int, top: int, least: float) -> DataFrame:
+    """Blocks of ``left`` (qid and the fields) and cells of ``right`` (cid and the fields) by ``meet``, and each query's best of all cells."""
     sizes = left.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nq")).crossJoin(right.agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("nc"))).filter("nq > 0 AND nc > 0")  # one row
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = left.crossJoin(F.broadcast(sizes)).select(dealt("qid", "nq").alias("i"), each("nc").alias("j"), "qid", "g", "w", "norm")
-    right = right.crossJoin(F.broadcast(sizes)).select(each("nq").alias("i"), dealt("cid", "nc").alias("j"), "cid", "g", "w", "norm")
+    kinds = f"qid {left.schema['qid'].dataType.simpleString()}, cid {right.schema['cid'].dataType.simpleString()}, dot double, n double"
+    left = left.crossJoin(F.broadcast(sizes)).select(dealt("qid", "nq").alias("i"), each("nc").alias("j"), "qid", *fields)
+    right = right.crossJoin(F.broadcast(sizes)).select(each("nq").alias("i"), dealt("cid", "nc").alias("j"), "cid", *fields)
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, kinds)
+    return _top(found.select("qid", "cid", F.round(F.col("dot") / F.col("n"), 6).alias("score")).filter(F.col("score") > least), top)
+
+
+def _tfidf_dealt(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, least: float = 0.05, lo: int = 2, hi: int = 4, max_df: int | None = None, block: int = 1024, cell: int = 4096) -> DataFrame:
+    """``tfidf_top`` where each record brings its weighed grams to the cells."""
+    a, b = _gram_weights(queries, pool, total, lo, hi, max_df)
+    listed = lambda df, key: df.groupBy(key).agg(F.collect_list(F.struct(F.xxhash64("g").alias("g"), "w")).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("norm")).select(key, F.col("x.g").alias("g"), F.col("x.w").alias("w"), "norm")
+    left, right = listed(a, "qid"), listed(b, "cid")
 
     def meet(q, c):
         import pandas as pd
@@ -183,9 +273,7 @@ def tfidf_top(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, le
                 out.append(pd.DataFrame({"qid": [key] * len(good), "cid": ids[good], "dot": dot[good].astype(float), "n": norm * norms[good]}))
         return pd.concat(out) if out else pd.DataFrame({"qid": q["qid"][:0], "cid": c["cid"][:0], "dot": np.empty(0), "n": np.empty(0)})
 
-    kinds = f"qid {queries.schema['id'].dataType.simpleString()}, cid {pool.schema['id'].dataType.simpleString()}, dot double, n double"
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, kinds)
-    return _top(found.select("qid", "cid", F.round(F.col("dot") / F.col("n"), 6).alias("score")).filter(F.col("score") > least), top)
+    return _met(left, right, ("g", "w", "norm"), meet, block, cell, top, least)
 
 
 def tfidf_join(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, least: float = 0.05, lo: int = 2, hi: int = 4, max_df: int | None = None) -> DataFrame:

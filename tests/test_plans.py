@@ -49,3 +49,17 @@ def test_rarest_address_words_without_the_common_ones(spark):
             plain = B.rarest(B.tokens(records, "addr_tokens").filter(F.length("key") >= least), index.atok_stats, n)
             assert sorted(map(tuple, index.rare_address(records, n, least).collect())) == sorted(map(tuple, plain.select("entity_id", "country", "key", "df", "idf").collect()))
     index.unpersist()
+
+
+def test_cells_get_words_and_not_their_grams(spark):
+    """What is dealt to every cell is a name's words; of more grams than tasks may know the records bring their own, with equal results."""
+    from kinfold.operators import retrieval as R
+
+    rng = random.Random(5)
+    rows = [(i, ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(0, 4))]) for i in range(80)]
+    of = lambda rows: spark.createDataFrame(rows, "id long, tokens array<string>")
+    q, c = of([*rows[:30], (3, ["abca"])]), of([*rows[30:], (40, ["abcab", "dd"])])
+    found = lambda df: sorted((r.qid, r["rank"], r.cid, r.score) for r in df.collect())
+    one = R.tfidf_top(q, c, 50, top=6, block=7, cell=11)
+    assert "xxhash64(g" not in plan_of(one)
+    assert found(one) == found(R.tfidf_top(q, c, 50, top=6, block=7 * 8, cell=11 * 8, known=10)) == found(R.tfidf_join(q, c, 50, top=6))
