@@ -15,6 +15,10 @@ searched breadth first, each against those not yet reached. A tight group is rea
 bits over two-word shingles (of which a change of one word spoils two, not five) are cut into six segments of 21 bits, one-wildcard variants
 meet in runs, and a run proposes the links of its minimum spanning tree by differing bits. So a group's closest pairs are proposed, no
 more of them than it has members. The five-word shingles of the proposed pairs then decide, exactly.
+
+What was not proposed is found by an exact similarity join. All shingles have one order, those that many texts share last; a text's prefix is so many of
+its first shingles that another as similar must have one of them in its own prefix. Texts of one class by then aren't paired again, pairs whose sizes or
+places rule the similarity out are dropped, and the full sets of the others decide.
 """
 
 from __future__ import annotations
@@ -351,35 +355,147 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("content", F.col("text").cast("string")).mapInArrow(run, "content binary, shingles array<long>")
 
 
+def _least_common(n: np.ndarray | int, similarity: float):
+    """Of sets of ``n`` shingles together: how many both must have."""
+    return np.ceil(similarity / (1 + similarity) * n - 1e-9)
+
+
+def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> DataFrame:
+    """content, size, prefix: how many shingles a text has and, in an order that all texts share, so many of the first that one as similar has one of them among
+    its own. common: hashes of shingles, sorted, and their numbers, which come last in the order; it bears on the length of runs alone."""
+    known, times = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh64_intdigest
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                contents, sizes, firsts = [], [], []
+                for t in whole.column(0).slice(at, 256).cast(pa.binary()):
+                    own = (t.as_py() or b"").lower().split()
+                    x = np.fromiter((h(s) for s in _shingles(own, words)), dtype=np.uint64).view(np.int64)
+                    weight = np.zeros(len(x), dtype=np.int64)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                        weight = np.where(known[place] == x, times[place], 0)
+                    most = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1 if len(x) else 0
+                    contents.append(xxhash.xxh3_128_digest(b" ".join(own))), sizes.append(len(x)), firsts.append(x[np.lexsort((x, weight))[:most]])
+                yield pa.RecordBatch.from_arrays([pa.array(contents, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["content", "size", "prefix"])
+
+    return texts.select(F.col("text").cast("string")).mapInArrow(run, "content binary, size long, prefix array<long>")
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, root, size, prefix): each shingle of the prefix as a row (key, id, root, at), where ``at`` is the size and behind it the place in 32 bits."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 512):
+            batch = whole.slice(start, 512)
+            key = batch.column(3).flatten().to_numpy()
+            n = batch.column(3).value_lengths().fill_null(0).to_numpy()
+            place = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+            ids, roots, sizes = (np.repeat(batch.column(i).to_numpy(), n) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ids, roots, sizes << 32 | place)], ["key", "id", "root", "at"])
+
+
+def _met(rows: np.ndarray, similarity: float) -> np.ndarray:
+    """Rows (key, id, root, at) of whole runs: pairs of ids of a run and of different roots that can be as similar, if this shingle is the first in order that both have."""
+    key, own, root, size = (np.ascontiguousarray(rows[:, i]) for i in range(4))
+    size, rest = size >> 32, (size >> 32) - (size & 0xFFFFFFFF)
+    out, i, away = [np.empty((0, 2), dtype=np.int64)], np.arange(len(key) - 1), 1
+    while len(i := i[key[i] == key[i + away]]):
+        j = i + away
+        fits = (root[i] != root[j]) & (np.minimum(rest[i], rest[j]) >= _least_common(size[i] + size[j], similarity)) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        u, v = own[i[fits]], own[j[fits]]
+        out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+        away += 1
+        i = i[i + away < len(key)]
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, root, at) sorted by key: the pairs (u, v) of each run. Holds the run that goes over a batch's end."""
+
+    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = _met(np.concatenate(rows), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["u", "v"])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if last or (held and held[0][0, 0] != rows[0, 0]):
+            yield found([*held, rows[:last]])
+            held = []
+        held.append(rows[last:])
+    if held:
+        yield found(held)
+
+
+SAMPLE, LISTED = 50_000, 500_000  # texts that the order of shingles is taken from at most, an eighth of all in small tables, and how many it lists; every order finds all pairs
+
+
+def _common_shingles(docs: DataFrame, mark: Column, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that texts of a sample share, sorted, and their numbers."""
+    every = max(1, min(8, total // 2000), -(-total // SAMPLE))
+    few = docs.select(mark.alias("content"), "text").filter(F.pmod(F.xxhash64("content"), F.lit(every)) == 0).select(F.col("content").cast("binary"), "text")
+    each = _shingle_sets(few, words).dropDuplicates(["content"]).select(F.explode("shingles").alias("h"))
+    rows = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(LISTED).toPandas()
+    h, n = rows["h"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def missed_pairs(docs: DataFrame, roots: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """u, v: pairs of different roots among which are all of at least ``similarity``. roots: id, root; contents without one are their own."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = _prefixes(docs, common, words, similarity).groupBy(F.xxhash64("content").alias("id")).agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    placed = each.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "size", "prefix")
+    runs = placed.mapInArrow(_spread, "key long, id long, root long, at long").repartition(parts, "key").sortWithinPartitions("key")
+    return runs.mapInArrow(partial(_meet, similarity=similarity), "u long, v long").distinct()
+
+
+def _alike(docs: DataFrame, mark: Column, contents: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v: hashes of contents) that have the similarity, by all their shingles; a table."""
+    asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    marks = contents.withColumn("id", F.xxhash64("content")).join(asked, "id", "left_semi").select("content", F.col("mark").alias("__mark"))
+    texts = docs.select("text", mark.alias("__mark")).join(marks, "__mark").dropDuplicates(["content"])
+    sets, shingled = written(_shingle_sets(texts, words), "shingles")
+    of = lambda x: sets.select(F.xxhash64("content").alias(x), F.col("shingles").alias(f"s{x}"))
+    common = F.size(F.array_intersect("su", "sv"))
+    alike = pairs.join(of("u"), "u").join(of("v"), "v").filter(common >= similarity * (F.size("su") + F.size("sv") - common) - 1e-9)
+    out, _ = written(alike.select("u", "v"), "alike")
+    discard(docs.sparkSession, shingled)
+    return out
+
+
 def similar_classes(docs: DataFrame, *beside: Column, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """content, root and the columns ``beside`` of every row of ``docs``. Rows of one root reach each other by links of at least ``similarity``
     (common by all distinct shingles of ``words`` words); a root is the content of one of them in a hashed form.
 
     A text is its words, A-Z in lower case; texts of the same words are one from the start, null and wordless texts among them. Links are verified
-    exactly; what is proposed is described above, and measured in the README."""
+    exactly. Most are proposed by fingerprints; then all pairs of different classes that can have the similarity are found by the prefixes of their shingles, so that none is missed."""
     mark = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
     prints, _ = written(_wide_prints(docs, mark.alias("__mark"), *beside), "wide")
     contents = prints.groupBy("a", "b", "content").agg(F.min("__mark").alias("mark"))
     first = contents.groupBy("a", "b").agg(F.min("content").alias("first"))
     links, proposed = written(proposed_links(first), "proposed")
     second = first.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("first").alias("v"))
-    between = links.join(first, ["a", "b"]).join(second, ["c", "d"]).select(F.col("first").alias("u"), "v")
-    within = contents.join(first, ["a", "b"]).filter("content <> first").select(F.col("first").alias("u"), F.col("content").alias("v"))
+    between = links.join(first, ["a", "b"]).join(second, ["c", "d"]).select(F.xxhash64("first").alias("u"), F.xxhash64("v").alias("v"))
+    within = contents.join(first, ["a", "b"]).filter("content <> first").select(F.xxhash64("first").alias("u"), F.xxhash64("content").alias("v"))
     pairs, paired = written(between.unionByName(within), "pairs")
     discard(docs.sparkSession, proposed)
-    asked = pairs.select(F.col("u").alias("content")).unionByName(pairs.select(F.col("v").alias("content"))).distinct()
-    marks = contents.join(asked, "content", "left_semi").select("content", F.col("mark").alias("__mark"))
-    texts = docs.select("text", mark.alias("__mark")).join(marks, "__mark").dropDuplicates(["content"])
-    sets, shingled = written(_shingle_sets(texts, words), "shingles")
-    of = lambda x: sets.select(F.col("content").alias(x), F.col("shingles").alias(f"s{x}"))
-    common = F.size(F.array_intersect("su", "sv"))
-    alike = pairs.join(of("u"), "u").join(of("v"), "v").filter(common >= similarity * (F.size("su") + F.size("sv") - common) - 1e-9)
-    roots = connected_components(alike.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")))
-    for path in (paired, shingled):  # the components are a table of their own
+    near = connected_components(_alike(docs, mark, contents, pairs, words, similarity))
+    others, met = written(missed_pairs(docs, near, _common_shingles(docs, mark, prints.count(), words), words, similarity), "met")
+    of = lambda x: near.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+    late = _alike(docs, mark, contents, others, words, similarity).join(of("u"), "u", "left").join(of("v"), "v", "left")
+    joined = connected_components(late.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))).select(F.col("id").alias("__near"), F.col("root").alias("__far"))
+    for path in (paired, met):  # the components are tables of their own
         discard(docs.sparkSession, path)
     rest = [c for c in prints.columns if c not in ("a", "b", "content", "__mark")]
     own = prints.withColumn("__id", F.xxhash64("content"))
-    return own.join(roots, own["__id"] == roots["id"], "left").select("content", F.coalesce("root", "__id").alias("root"), *rest)
+    placed = own.join(near.withColumnRenamed("root", "__root"), own["__id"] == near["id"], "left").withColumn("__near", F.coalesce("__root", "__id"))
+    return placed.join(joined, "__near", "left").select("content", F.coalesce("__far", "__near").alias("root"), *rest)
 
 
 def keep_one_of_each(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

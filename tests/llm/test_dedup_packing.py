@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import xxhash
 from kinfold.llm import components, packing, simhash
@@ -285,3 +286,44 @@ def test_runs_propose_their_spanning_trees():
         got = [tuple(r.values()) for b in simhash._propose(iter(batches)) for r in b.to_pylist()]
         assert len(got) == len(set(got)) and {frozenset((r[:2], r[2:])) for r in got} == {frozenset((tuple(map(int, w[:2])), tuple(map(int, w[2:])))) for w in want}
     assert list(simhash._propose(iter([]))) == []
+
+
+def test_links_that_fingerprints_do_not_propose(spark, monkeypatch):
+    """Pairs around 0.8: with nothing proposed at all and with runs as usual, every link is found, and no other."""
+    rng = random.Random(33)
+    words = [f"w{i}" for i in range(300)]
+    common = [rng.choice(words) for _ in range(40)]  # a passage that all texts of a size share
+    texts = ["", "one two", "one two three four five six", "a " * 50]
+    for size in (8, 30, 120, 500):
+        for _ in range(12):
+            base = [rng.choice(words) for _ in range(size)] + common[: size // 3]
+            texts.append(" ".join(base))
+            for changes in (1, max(1, size // 45), max(1, size // 40)):
+                texts.append(" ".join(edited(rng, base, changes)))
+    rng.shuffle(texts)
+    want = {frozenset(own) for own in plain_classes(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def classes():
+        got = {}
+        for r in simhash.similar_classes(docs, F.col("doc_id")).collect():
+            got.setdefault(r.root, set()).add(r.doc_id)
+        return {frozenset(own) for own in got.values()}
+
+    assert classes() == want
+    monkeypatch.setattr(simhash, "proposed_links", lambda distinct: distinct.selectExpr("a", "b", "a AS c", "b AS d").limit(0))
+    assert classes() == want
+
+
+def test_runs_of_a_shingle_over_batches():
+    """Pairs of a run don't depend on where batches end."""
+    rng = np.random.default_rng(5)
+    rows = sorted((int(rng.integers(0, 12)), i, i // 3, int(rng.integers(40, 60)) << 32 | int(rng.integers(0, 4))) for i in range(60))
+    cols = [np.array(c, dtype=np.int64) for c in zip(*rows)]
+    want = {(min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and min(a[3] >> 32, b[3] >> 32) >= 0.8 * max(a[3] >> 32, b[3] >> 32)
+            and min((x[3] >> 32) - (x[3] & 0xFFFFFFFF) for x in (a, b)) * 9 >= 4 * ((a[3] >> 32) + (b[3] >> 32))}
+    for step in (1, 7, 60):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in cols], ["key", "id", "root", "at"]) for i in range(0, 60, step)]
+        got = [(r["u"], r["v"]) for b in simhash._meet(iter(batches), 0.8) for r in b.to_pylist()]
+        assert set(got) == want
+    assert list(simhash._meet(iter([]), 0.8)) == []
