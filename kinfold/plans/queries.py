@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..operators import blocking as B
 from ..operators import features as X
 from ..operators import retrieval as R
 from ..operators import selection as S
-from ..session import discard, table, written
+from ..session import collect_garbage, discard, table, written
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +36,7 @@ _KEPT: dict[tuple, object] = {}
 
 def _release(spark: SparkSession, value: object) -> None:
     for x in value if isinstance(value, tuple) else (value,):
-        if isinstance(x, (DataFrame, B.Index)):
+        if isinstance(x, (DataFrame, B.Names)):
             x.unpersist()
             path = getattr(x, "_kinfold_path", None)
             if path:
@@ -60,6 +61,7 @@ def _kept(f):
     """What many queries share (the index, the union, the joined candidates) is built and cached once, as it is for the shards of a run.
     Only one folder's tables are kept: those of another, or of a folder that has been written anew, let go of them."""
 
+    @wraps(f)
     def call(spark: SparkSession, d: str, *options):
         folder = _folder(spark, d)
         if _KEPT and next(iter(_KEPT))[0] != folder:
@@ -95,14 +97,45 @@ def _index(spark: SparkSession, d: str, low: bool = False) -> tuple[DataFrame, B
 @_kept
 def _union(spark: SparkSession, d: str, low: bool = False, order: str = "fair") -> DataFrame:
     s1, index = _index(spark, d, low)
-    return _table(B.union(s1, index, order), "union")
+    paths = []
 
+    def keep(rows: DataFrame) -> DataFrame:
+        out, path = written(rows, "scheme")
+        paths.append(path)
+        collect_garbage(spark)
+        return out
 
-def _base(spark: SparkSession, d: str, words: bool = False) -> tuple[DataFrame, DataFrame, B.Index]:
+    pairs = B.union(s1, index, order, keep=keep)
+    del s1, index
+    _let_go(spark, _index)
+    made = _table(pairs, "union")
+    for path in paths:
+        discard(spark, path)
+    del pairs
+    collect_garbage(spark)
+    return made
+
+
+def _let_go(spark: SparkSession, *makers) -> None:
+    """Whatever the makers have kept goes, with its caches and shuffle files: they are several times the input and no plan that follows reads them. Who asks again
+    gets them made again; plans of them that are still to run make what they read."""
+    for key in [k for k in _KEPT if k[1] in {f.__name__ for f in makers}]:
+        _release(spark, _KEPT.pop(key))
+    collect_garbage(spark)
+
+
+@_kept
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, B.Names]:
+    s1, pool = _split(spark, d)
+    return s1, B.Names(pool)
+
+
+def _base(spark: SparkSession, d: str, words: bool = False) -> tuple[DataFrame, DataFrame, B.Names]:
     """The best candidates with their records' fields, as a plan: each query joins the fields that it reads and no others. A table of it would hold both whole
     addresses once a pair, some hundred times the documents. ``words``: with the weighed words of both names."""
-    s1, index = _index(spark, d, False)
-    return X.base(B.top_k(_union(spark, d, False, "fair"), index.knobs.top_k), s1, index.pool, index if words else None), s1, index
+    union = _union(spark, d, False, "fair")
+    s1, index = _names(spark, d)
+    return X.base(B.top_k(union, index.knobs.top_k), s1, index.pool, index if words else None), s1, index
 
 
 @_kept
@@ -178,7 +211,7 @@ def recall_at_k(spark, d):
   FROM (SELECT s.entity_id, (SELECT count(*) FROM u_fair u WHERE u.s1_id = s.entity_id AND rnk <= 100) AS n, (SELECT count(*) FROM gt WHERE gt.s1_id = s.entity_id) AS m,
     (SELECT count(*) FROM gt JOIN u_fair u USING (s1_id, cand_id) WHERE gt.s1_id = s.entity_id AND rnk <= 100) AS h FROM s1 s)""")
 def blocking_report(spark, d):
-    s1, index = _index(spark, d, False)
+    s1, _ = _split(spark, d)
     return B.report(B.top_k(_union(spark, d, False, "fair"), 100), _truth(spark, d), s1)
 
 

@@ -63,3 +63,28 @@ def test_cells_get_words_and_not_their_grams(spark):
     one = R.tfidf_top(q, c, 50, top=6, block=7, cell=11)
     assert "xxhash64(g" not in plan_of(one)
     assert found(one) == found(R.tfidf_top(q, c, 50, top=6, block=7 * 8, cell=11 * 8, known=10)) == found(R.tfidf_join(q, c, 50, top=6))
+
+
+def test_features_run_without_the_index(spark):
+    """The union lets go of the index, whose caches and shuffles are several times the input; plans that hold it still run, and who asks again gets it."""
+    from kinfold.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    Q._records(spark, sf)  # lets go of other folders
+    for key in list(Q._KEPT):
+        if key[1] != "_records":
+            Q._release(spark, Q._KEPT.pop(key))
+    index = Q._index(spark, sf, False)[1]
+    want = sorted(index.tok_stats.collect())
+    entry.queries()["feat_leftover"](spark, sf).count()
+    assert "_index" not in {key[1] for key in Q._KEPT}
+    assert not index.tok.is_cached and not [p for p in _written if "kinfold-scheme-" in p]
+    assert sorted(index.tok_stats.collect()) == want == sorted(Q._index(spark, sf, False)[1].tok_stats.collect())
+
+
+def test_matrix_rows_reads_no_addresses(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = entry.queries()["matrix_rows"](spark, sf)
+    assert "_atok" not in plan_of(rows) and "namesakes" not in plan_of(rows)
+    whole = entry.queries()["feature_matrix"](spark, sf).select("s1_id", "b_by_a", "b_shared").collect()
+    assert tuple(rows.first()) == (len(whole), len({r.s1_id for r in whole}), sum(r.b_by_a for r in whole), sum(r.b_shared for r in whole))
