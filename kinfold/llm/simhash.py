@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import collect_garbage
 from .common import discard, table, written
 from .components import connected_components
 
@@ -341,6 +342,14 @@ def proposed_links(distinct: DataFrame) -> DataFrame:
     return runs.mapInArrow(_propose, "a long, b long, c long, d long").distinct()
 
 
+def _settled(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``written``; the shuffle files that made the table go before the next step makes its own, as those of all steps together are several times the input."""
+    out = written(df, label)
+    del df
+    collect_garbage(out[0].sparkSession)
+    return out
+
+
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """content, text to content, shingles (array of hashes of the distinct shingles)."""
 
@@ -460,11 +469,11 @@ def _alike(docs: DataFrame, mark: Column, contents: DataFrame, pairs: DataFrame,
     asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     marks = contents.withColumn("id", F.xxhash64("content")).join(asked, "id", "left_semi").select("content", F.col("mark").alias("__mark"))
     texts = docs.select("text", mark.alias("__mark")).join(marks, "__mark").dropDuplicates(["content"])
-    sets, shingled = written(_shingle_sets(texts, words), "shingles")
+    sets, shingled = _settled(_shingle_sets(texts, words), "shingles")
     of = lambda x: sets.select(F.xxhash64("content").alias(x), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("su", "sv"))
     alike = pairs.join(of("u"), "u").join(of("v"), "v").filter(common >= similarity * (F.size("su") + F.size("sv") - common) - 1e-9)
-    out, _ = written(alike.select("u", "v"), "alike")
+    out, _ = _settled(alike.select("u", "v"), "alike")
     discard(docs.sparkSession, shingled)
     return out
 
@@ -476,17 +485,17 @@ def similar_classes(docs: DataFrame, *beside: Column, words: int = SHINGLE, simi
     A text is its words, A-Z in lower case; texts of the same words are one from the start, null and wordless texts among them. Links are verified
     exactly. Most are proposed by fingerprints; then all pairs of different classes that can have the similarity are found by the prefixes of their shingles, so that none is missed."""
     mark = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
-    prints, _ = written(_wide_prints(docs, mark.alias("__mark"), *beside), "wide")
+    prints, _ = _settled(_wide_prints(docs, mark.alias("__mark"), *beside), "wide")
     contents = prints.groupBy("a", "b", "content").agg(F.min("__mark").alias("mark"))
     first = contents.groupBy("a", "b").agg(F.min("content").alias("first"))
-    links, proposed = written(proposed_links(first), "proposed")
+    links, proposed = _settled(proposed_links(first), "proposed")
     second = first.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("first").alias("v"))
     between = links.join(first, ["a", "b"]).join(second, ["c", "d"]).select(F.xxhash64("first").alias("u"), F.xxhash64("v").alias("v"))
     within = contents.join(first, ["a", "b"]).filter("content <> first").select(F.xxhash64("first").alias("u"), F.xxhash64("content").alias("v"))
-    pairs, paired = written(between.unionByName(within), "pairs")
+    pairs, paired = _settled(between.unionByName(within), "pairs")
     discard(docs.sparkSession, proposed)
     near = connected_components(_alike(docs, mark, contents, pairs, words, similarity))
-    others, met = written(missed_pairs(docs, near, _common_shingles(docs, mark, prints.count(), words), words, similarity), "met")
+    others, met = _settled(missed_pairs(docs, near, _common_shingles(docs, mark, prints.count(), words), words, similarity), "met")
     of = lambda x: near.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
     late = _alike(docs, mark, contents, others, words, similarity).join(of("u"), "u", "left").join(of("v"), "v", "left")
     joined = connected_components(late.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))).select(F.col("id").alias("__near"), F.col("root").alias("__far"))

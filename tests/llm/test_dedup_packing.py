@@ -327,3 +327,26 @@ def test_runs_of_a_shingle_over_batches():
         got = [(r["u"], r["v"]) for b in simhash._meet(iter(batches), 0.8) for r in b.to_pylist()]
         assert set(got) == want
     assert list(simhash._meet(iter([]), 0.8)) == []
+
+
+def test_near_duplicates_let_go_of_shuffle_files_step_by_step(spark, monkeypatch):
+    import time
+
+    from kinfold.session import collect_garbage
+
+    live = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    collect_garbage(spark)
+    time.sleep(1)
+    start, held, write = live(), [], simhash.written
+
+    def watched(df, label):
+        time.sleep(0.5)  # Spark's cleaner works beside
+        held.append(live() - start)
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "written", watched)
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    docs = spark.createDataFrame([(i, " ".join(words[i % 7 :] + [f"w{i % 3}"] * (i % 4))) for i in range(40)], "doc_id long, text string")
+    found = simhash.similar_classes(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    assert found.count() == 40
+    assert len(held) == 8 and max(held) <= 6  # what the first steps made is gone when the last begin
