@@ -88,3 +88,16 @@ def test_matrix_rows_reads_no_addresses(spark):
     assert "_atok" not in plan_of(rows) and "namesakes" not in plan_of(rows)
     whole = entry.queries()["feature_matrix"](spark, sf).select("s1_id", "b_by_a", "b_shared").collect()
     assert tuple(rows.first()) == (len(whole), len({r.s1_id for r in whole}), sum(r.b_by_a for r in whole), sum(r.b_shared for r in whole))
+
+
+def test_address_words_are_taken_apart_once_a_record(spark):
+    from kinfold.operators import blocking as B
+
+    rows = [(f"S2-{i}", "en", ["x"], [f"w{i % 5}", "road"], [], "") for i in range(12)]
+    pool = spark.createDataFrame(rows, "entity_id string, country string, name_tokens array<string>, addr_tokens array<string>, addr_nums array<string>, postcode string")
+    index = B.Index(pool, B.Knobs.low())
+    words = index.address_words(pool)
+    assert "MapInArrow" not in words._jdf.queryExecution().toString()  # the rows with a rarity and those without read one table
+    found = {(r["entity_id"], r["key"]): (r["n"], r["df"]) for r in words.collect()}
+    assert found == {(f"S2-{i}", k): (1, df) for i in range(12) for k, df in ((f"w{i % 5}", 3 if i % 5 < 2 else 2), ("road", 12))}
+    index.unpersist()
