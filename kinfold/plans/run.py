@@ -84,7 +84,7 @@ def link(spark: SparkSession, reference: str, pool: list[str], at: Settings, tru
             made = f"{work}/features"
             if not io.finished(spark, made):
                 X.write_matrix(X.matrix(X.base(found, s1, pool_records, index), s1, pool_records), made, found.count())
-            index.unpersist()
+            index.discard()
             rows = spark.read.parquet(made)
         with step(spark, "learn"):
             if truth is not None:

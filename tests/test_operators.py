@@ -149,3 +149,44 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("s1_id", "cand_id", "rnk").collect()
     want = B.top_k(B.union(spark.read.parquet(str(tmp_path / "in")), index), 100).select("s1_id", "cand_id", "rnk").collect()
     assert sorted(got) == sorted(want)
+
+
+def test_schemes_of_names_go_class_by_class(spark):
+    """Records of one name are joined once: the join has a row for each pair of names that share a word, not one for each pair of records."""
+    rng = random.Random(5)
+    words = [["ab", "cd"], ["ab", "cde"], ["cd", "ab"], ["xyz", "ab", "ab"], ["q", "cde"], [], None]
+    schema = "entity_id string, country string, name_tokens array<string>, addr_tokens array<string>, addr_nums array<string>, postcode string"
+    rows = lambda side, n: [(f"S{side}-{i:03d}", rng.choice(["us", "us", "fr", None]), rng.choice(words), ["w"], [], "") for i in range(n)]
+    left, right = rows(1, 60), rows(2, 240)
+    s1, pool = (spark.createDataFrame(r, schema).coalesce(1) for r in (left, right))
+    index = B.Index(pool, B.Knobs(scheme_cap=9))
+    joined = []
+    taken = lambda name, records: (lambda q: (joined.append(q.count()), q)[1])(B.Index.query(index, name, records))
+    index.query = taken
+    pairs = lambda ks: [f"{a}|{b}" for a in ks for b in ks if b > a]
+    heard = lambda t: t.replace("sh", "s").replace("ph", "f").translate(str.maketrans("c", "k", "aeiou"))
+    df = {}
+    for r in right:
+        for t in r[2] or []:
+            df[r[1], t] = df.get((r[1], t), 0) + 1
+    rare = lambda r, n: sorted([t for t in r[2] or [] if (r[1], t) in df], key=lambda t: (df[r[1], t], t))[:n]
+    for name, of, n in (("b", lambda r: r[2] or [], 3), ("c", lambda r: [k for t in r[2] or [] if len(k := heard(t)) >= 3], 3), ("f", lambda r: pairs(rare(r, 4)), 6)):
+        count = {}
+        for r in right:
+            for k in of(r):
+                count[r[1], k] = count.get((r[1], k), 0) + 1
+        idf = {r.country + r.key: r.idf for r in getattr(index, {"b": "tok_stats", "c": "skel_stats", "f": "pair_stats"}[name]).filter("country IS NOT NULL").collect()}
+        want = set()
+        for s in left:
+            asked = sorted([k for k in of(s) if (s[1], k) in count], key=lambda k: (count[s[1], k], k))[:n] if s[1] else []
+            found = []
+            for c in right:
+                if c[1] == s[1]:
+                    hits = [k for k in asked for other in of(c) if other == k]
+                    if hits:
+                        found.append((-sum(idf[s[1] + k] for k in hits), -len(hits), c[0]))
+            want |= {(s[0], c, -w, -m, i) for i, (w, m, c) in enumerate(sorted(found)[:9], 1)}
+        got = {(r.s1_id, r.cand_id, r.idf_score, r.shared, r.rk) for r in index.scheme(name, s1).collect()}
+        assert got == want and (want or name == "c"), name
+    assert sum(joined) <= 2 * (3 + 3 + 6) * len(words)  # 60 records, two countries
+    index.discard()
