@@ -137,12 +137,17 @@ def _names(spark: SparkSession, d: str) -> tuple[DataFrame, B.Names]:
     return s1, B.Names(pool)
 
 
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    """The best candidates as the union has them, for queries that read no field of a record: each record is there once, so a join with it changes no row."""
+    return B.top_k(_union(spark, d, False, "fair"), B.Knobs().top_k)
+
+
 def _base(spark: SparkSession, d: str, words: bool = False) -> tuple[DataFrame, DataFrame, B.Names]:
     """The best candidates with their records' fields, as a plan: each query joins the fields that it reads and no others. A table of it would hold both whole
     addresses once a pair, some hundred times the documents. ``words``: with the weighed words of both names."""
-    union = _union(spark, d, False, "fair")
+    best = _best(spark, d)
     s1, index = _names(spark, d)
-    return X.base(B.top_k(union, index.knobs.top_k), s1, index.pool, index if words else None), s1, index
+    return X.base(best, s1, index.pool, index if words else None), s1, index
 
 
 @_kept

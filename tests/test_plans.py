@@ -107,3 +107,8 @@ def test_skeletons_are_made_once_a_record(spark):
     """Pairs carry two texts: no word is weighed, exploded or gathered for them."""
     plan = plan_of(entry.queries()["feat_skeleton"](spark, SF))
     assert "Generate" not in plan and "Aggregate" not in plan and "collect_list" not in plan
+
+
+def test_origin_joins_no_records(spark):
+    """What the union says of a pair is read where it lies."""
+    assert "Join" not in plan_of(entry.queries()["feat_origin"](spark, SF)) and "Join" not in plan_of(entry.queries()["matrix_rows"](spark, SF))
