@@ -112,3 +112,16 @@ def test_skeletons_are_made_once_a_record(spark):
 def test_origin_joins_no_records(spark):
     """What the union says of a pair is read where it lies."""
     assert "Join" not in plan_of(entry.queries()["feat_origin"](spark, SF)) and "Join" not in plan_of(entry.queries()["matrix_rows"](spark, SF))
+
+
+def test_equal_pairs_are_compared_once_a_batch(spark, monkeypatch):
+    import pandas as pd
+
+    asked = []
+    monkeypatch.setitem(sim.SCORES, "partial_ratio", lambda a, b: (asked.append((a, b)), sim.partial_ratio(a, b))[1])
+    made = []
+    monkeypatch.setattr(sim.F, "pandas_udf", lambda run, kind: lambda *columns: made.append(run))
+    sim.scores({"n": "partial_ratio"}, None, None)
+    got = made[0](pd.Series(["abc", None, "abc", "abd"] * 50), pd.Series(["xbc", "", "xbc", None] * 50))
+    assert len(asked) == 3 and list(got["n"]) == [sim.partial_ratio("abc", "xbc"), 0.0, sim.partial_ratio("abc", "xbc"), 0.0] * 50
+    assert str(got["n"].dtype) == "float64" and len(made[0](pd.Series([], dtype=str), pd.Series([], dtype=str))) == 0
