@@ -62,6 +62,29 @@ def test_rivals_match_the_plain_join(spark):
     assert fast == slow and slow
 
 
+def test_rivals_of_names_that_many_share(spark):
+    """A name of more reference records than one row lists has rivals too, the best of all of them, in whatever cells they lie."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    some = lambda n, of: [rng.choice(of) for _ in range(rng.randrange(n))]
+    words, nums = [f"w{i}" for i in range(14)], [f"{i}" for i in range(25)]
+    kind = "entity_id string, country string, name_key string, addr_tokens array<string>, addr_nums array<string>"
+    make = lambda p, n, names: [(f"{p}{i:03d}", "en", names[i % len(names)], some(6, words), some(3, nums)) for i in range(n)]
+    refs = make("r", X.RIVALS + 40, ["many"]) + [(f"q{i}", "en", "many", ["w1", "w2"], ["7"]) for i in range(3)] + make("f", 12, ["few", "lone", ""])
+    s1, pool = spark.createDataFrame(refs, kind), spark.createDataFrame(make("c", 40, ["many", "many", "few", "none", ""]) + [("d0", "en", "many", ["w1", "w2"], ["7"])], kind)
+    side = lambda df, key, p: df.select(F.col("entity_id").alias(key), F.col("country").alias(f"{p}_country"), F.col("name_key").alias(f"{p}_key"), F.array_distinct("addr_tokens").alias(f"{p}_atok"), F.array_distinct("addr_nums").alias(f"{p}_num"))
+    b = side(s1, "s1_id", "s").crossJoin(side(pool, "cand_id", "c")).persist()
+    found = lambda df: {(r.s1_id, r.cand_id): (r.x_rival_addr, r.x_rival_num) for r in df.collect() if r.x_rival_addr is not None}
+    want = found(X.rivals_plain(b, s1))
+    assert found(X.rivals(b, s1)) == found(X.rivals(b, s1, pool)) == want and sum(c == "d0" for _, c in want) == len(refs)
+    many = s1.filter("name_key = 'many'")
+    asked = side(pool, "cand_id", "c").select("cand_id", F.col("c_country").alias("country"), F.col("c_key").alias("name_key"), "c_atok", "c_num")
+    fits = {r.cand_id: r.fits for r in X._best_fits(asked, many, block=5, cell=7).collect()}
+    own = {k: v for k, v in want.items() if k[1] in fits}
+    assert len(own) == len(fits) * len(refs) and own == {k: tuple(max(x[f] for x in fits[k[1]] if x["of"] != k[0]) for f in ("addr", "num")) for k in own}
+
+
 def test_retrieval_forms_agree(spark):
     from kinfold.operators import retrieval as R
 
