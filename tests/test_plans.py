@@ -125,3 +125,25 @@ def test_equal_pairs_are_compared_once_a_batch(spark, monkeypatch):
     got = made[0](pd.Series(["abc", None, "abc", "abd"] * 50), pd.Series(["xbc", "", "xbc", None] * 50))
     assert len(asked) == 3 and list(got["n"]) == [sim.partial_ratio("abc", "xbc"), 0.0, sim.partial_ratio("abc", "xbc"), 0.0] * 50
     assert str(got["n"].dtype) == "float64" and len(made[0](pd.Series([], dtype=str), pd.Series([], dtype=str))) == 0
+
+
+def test_scorer_is_fitted_on_all_records(spark, monkeypatch):
+    """Trees and calibration see every pair of their folds, of however many records."""
+    from kinfold.operators import features as X
+    from kinfold.operators import learn as L
+    from kinfold.plans import more as M
+    from pyspark.sql import functions as F
+
+    value = lambda i, c: F.when(F.col("id") % 5 > 0, F.col("id") % (i + 2)).otherwise(None if c in X.NULLABLE else 0).cast("float").alias(c)
+    pairs = spark.range(1600).select(F.concat(F.lit("s"), F.floor(F.col("id") / 2)).alias("s1_id"), F.concat(F.lit("c"), "id").alias("cand_id"), *[value(i, c) for i, c in enumerate(X.FEATURES)])
+    given = {}
+    monkeypatch.setattr(M, "_matrix", lambda spark, d: pairs)
+    monkeypatch.setattr(M, "_truth", lambda spark, d: pairs.filter("n_jacc = 1").select("s1_id", "cand_id"))
+    monkeypatch.setattr(L, "fit_trees", lambda rows, names, **kw: given.update(rows=rows, names=names))
+    monkeypatch.setattr(L, "predicted", lambda model, rows: rows)
+    monkeypatch.setattr(L, "calibrate", lambda scored: given.update(calibrated=scored))
+    rows = M._fitted(spark, "/root/testdata/no-such")[2]
+    assert rows.count() == given["rows"].count() == 1600 and given["rows"].select("s1_id").distinct().count() == 800
+    assert given["calibrated"].count() == rows.filter("fold = 1").count() > 0
+    assert set(X.FEATURES) | {f"{c}__null" for c in X.NULLABLE} <= set(given["names"])
+    assert rows.filter(" OR ".join(f"{n} IS NULL" for n in given["names"])).count() == 0 < rows.filter("x_rival_num__null = 1").count()
