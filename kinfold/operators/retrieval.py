@@ -148,18 +148,25 @@ def _gram_weights(queries: DataFrame, pool: DataFrame, total: int, lo: int, hi:
 GRAMS = 1_000_000  # grams that tasks get the weights of; words of a-z and 0-9 have fewer of 2 to 4 letters in practice, and more are dealt to the cells with the records
 
 
-def tfidf_top(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, least: float = 0.05, lo: int = 2, hi: int = 4, max_df: int | None = None, block: int = 8192, cell: int = 32768, known: int = GRAMS) -> DataFrame:
+def tfidf_top(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, least: float = 0.05, lo: int = 2, hi: int = 4, max_df: int | None = None, block: int = 4096, cell: int = 32768, known: int = GRAMS) -> DataFrame:
     """Sparse cosine of character n-grams: qid, cid, score, rank, scores over ``least``. queries, pool: id, tokens. Grams in over ``max_df`` pool
     records can be left out.
 
     Nearly all names share some short gram, so a join on grams makes more rows than there are pairs. Here blocks of queries meet cells of the
-    pool: a cell's grams are an inverted index in arrays, a query adds up its postings in it, and each cell keeps a query's best. Only words are dealt to the
+    pool: a cell's grams are an inverted index in arrays and each cell keeps a query's best. Only words are dealt to the
     cells, which cut them into grams themselves and get the weights of all grams; of more than ``known`` grams each record brings its own. Weights are whole
-    millionths, so sums are exact in 64 bits in any order (records of some hundred grams at most)."""
-    whole = lambda df, key: df.groupBy(F.col("id").alias(key)).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-    left, right = whole(queries, "qid"), whole(pool, "cid")
-    each = right.select(F.explode(F.array_distinct(F.flatten(F.transform(F.filter("tokens", lambda t: t.isNotNull()), lambda t: T.char_ngrams(t, lo, hi))))).alias("g"))
-    stats = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    millionths, so sums are exact in 64 bits in any order (records of some hundred grams at most).
+
+    Records of the same words are one class, by its smallest id, and meet the cells once; as each class has a record, a query's ``top`` best classes hold its ``top`` best records.
+    A query is weighed against a cell nearly, and exactly where that could put a record among its best. With a high ``least`` only its rare grams are added up: what the others can still
+    add is bounded by their norm."""
+    whole = lambda df, key: df.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    same = Window.partitionBy("tokens")
+    named = lambda df, key: whole(df, key).select(key, "tokens", F.min(key).over(same).alias("of"), F.count(F.lit(1)).over(same).alias("n"))
+    asked, held = named(queries, "qid"), named(pool, "cid")
+    left, right = asked.filter("qid = of").select("qid", "tokens"), held.filter("cid = of").select("cid", "tokens", "n")
+    each = right.select("n", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("tokens", lambda t: t.isNotNull()), lambda t: T.char_ngrams(t, lo, hi))))).alias("g"))
+    stats = each.groupBy("g").agg(F.sum("n").alias("df"))
     if max_df:
         stats = stats.filter(F.col("df") <= max_df)
     weights = stats.select("g", T.micro_idf(total, F.col("df")).alias("idf")).limit(known + 1).toArrow() if total > 0 else pa.table({"g": pa.array([], pa.string()), "idf": pa.array([], pa.int64())})
@@ -205,6 +212,7 @@ def tfidf_top(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, le
 
         c = c.sort_values("cid", kind="stable")
         row, gram, weight, norms = vectors(c["tokens"])
+        own_gram, own_weight, own_ends = gram, weight, np.searchsorted(row, np.arange(len(c) + 1))
         order = np.argsort(gram, kind="stable")
         row, weight = row[order].astype(np.int32), weight[order]
         ends = np.concatenate([[0], np.cumsum(np.bincount(gram, minlength=len(idf)))])
@@ -213,24 +221,68 @@ def tfidf_top(queries: DataFrame, pool: DataFrame, total: int, top: int = 25, le
         q_row, q_gram, q_weight, q_norms = vectors(q["tokens"])
         q_ends = np.searchsorted(q_row, np.arange(len(q) + 1))
         out, keys = [], q["qid"].to_numpy()
+        asks = np.zeros(max(1, len(idf)), dtype=np.int64)  # the weights of the query at hand
+
+        def products(rows):
+            """Of whole rows."""
+            n = own_ends[rows + 1] - own_ends[rows]
+            starts = np.cumsum(n) - n
+            at_row = np.repeat(own_ends[rows] - starts, n) + np.arange(n.sum())
+            return np.add.reduceat(asks[own_gram[at_row]] * own_weight[at_row], starts)
+
+        # First nearly, in single precision: grams of many rows by a matrix product, the others by their postings. With a high ``least`` the rare grams decide.
+        strict, sizes = least >= 0.5, np.diff(ends)
+        common = np.flatnonzero(sizes > max(1, len(ids) // 16)) if not strict else np.empty(0, dtype=np.int64)
+        place = np.full(max(1, len(idf)), -1)
+        place[common] = np.arange(len(common))
+        unit = (weight / norms[row]).astype(np.float32)
+        dense = np.zeros((len(common), len(ids)), dtype=np.float32)
+        for k, g in enumerate(common.tolist()):
+            dense[k, row[ends[g] : ends[g + 1]]] = unit[ends[g] : ends[g + 1]]
         for i, key in enumerate(keys):
+            if i % 128 == 0:
+                part = slice(q_ends[i], q_ends[min(i + 128, len(keys))])
+                many = place[q_gram[part]] >= 0
+                asked = np.zeros((min(128, len(keys) - i), len(common)), dtype=np.float32)
+                asked[q_row[part][many] - i, place[q_gram[part][many]]] = q_weight[part][many] / q_norms[q_row[part][many]]
+                nearly = asked @ dense
             if q_ends[i] == q_ends[i + 1]:
                 continue
-            own = q_gram[q_ends[i] : q_ends[i + 1]]
-            dot = np.zeros(len(ids), dtype=np.int64)
-            for s, e, w in zip(ends[own].tolist(), ends[own + 1].tolist(), q_weight[q_ends[i] : q_ends[i + 1]].tolist(), strict=True):
-                dot[row[s:e]] += w * weight[s:e]  # a gram names a record once
-            score = dot / (q_norms[i] * norms)
-            good = np.flatnonzero(score > least - 1e-6)
-            if len(good) > top:  # with those that rounding could make equal to the last
-                good = good[score[good] >= np.partition(score[good], len(good) - top)[len(good) - top] - 1e-6]
-            if len(good):
-                out.append((key, ids[good], dot[good].astype(float), q_norms[i] * norms[good]))
+            own, wants = q_gram[q_ends[i] : q_ends[i + 1]], q_weight[q_ends[i] : q_ends[i + 1]]
+            near, left_out, some = nearly[i % 128], 0.0, place[own] < 0
+            few, share = own[some], wants[some] / q_norms[i]
+            if strict:
+                rare = np.argsort(sizes[few], kind="stable")
+                few, share = few[rare], share[rare]
+                rest = np.sqrt(np.append(np.cumsum((share**2)[::-1])[::-1], 0.0))  # what the grams from each on can add to a score
+                upto = int(np.searchsorted(-rest, -0.7 * least))
+                few, share, left_out = few[:upto], share[:upto], rest[upto]
+            for s, e, w in zip(ends[few].tolist(), ends[few + 1].tolist(), share.astype(np.float32), strict=True):
+                near[row[s:e]] += w * unit[s:e]  # a gram names a record once
+            enough = max(least, np.partition(near, len(near) - top)[len(near) - top]) if not strict and len(near) > top else least
+            good = np.flatnonzero(near > enough - left_out - 1e-4)
+            good = good[own_ends[good + 1] > own_ends[good]]
+            if not len(good):
+                continue
+            asks[own] = wants
+            dot = products(good)
+            asks[own] = 0
+            score = dot / (q_norms[i] * norms[good])
+            best = np.flatnonzero(score > least - 1e-6)
+            if len(best) > top:  # with those that rounding could make equal to the last
+                best = best[score[best] >= np.partition(score[best], len(best) - top)[len(best) - top] - 1e-6]
+            if len(best):
+                out.append((key, ids[good[best]], dot[best].astype(float), q_norms[i] * norms[good[best]]))
         if not out:
             return none
         return pd.DataFrame({"qid": np.repeat(np.array([x[0] for x in out], dtype=keys.dtype), [len(x[1]) for x in out]), "cid": np.concatenate([x[1] for x in out]), "dot": np.concatenate([x[2] for x in out]), "n": np.concatenate([x[3] for x in out])})
 
-    return _met(left, right, ("tokens",), meet, block, cell, top, least)
+    few = _met(left, right.drop("n"), ("tokens",), meet, block, cell, top, least).drop("rank").withColumnsRenamed({"qid": "of", "cid": "cand_of"})
+    turn = F.row_number().over(Window.partitionBy("of").orderBy("cid"))
+    members = held.select("of", "cid").withColumn("turn", turn).filter(F.col("turn") <= top).groupBy(F.col("of").alias("cand_of")).agg(F.collect_list("cid").alias("ids"))
+    best = _top(few.join(members, "cand_of").select(F.col("of").alias("qid"), F.explode("ids").alias("cid"), "score"), top)
+    lists = best.groupBy(F.col("qid").alias("of")).agg(F.collect_list(F.struct("cid", "score", "rank")).alias("list"))
+    return asked.select("qid", "of").join(lists, "of").select("qid", F.explode("list").alias("x")).select("qid", "x.*")
 
 
 def _met(left: DataFrame, right: DataFrame, fields: tuple[str, ...], meet, block: int, cell: int, top: int, least: float) -> DataFrame:

@@ -390,10 +390,10 @@ def tfidf_topn(spark, d):
     return _tfidf(spark, d)
 
 
-def _tfidf(spark, d):
+def _tfidf(spark, d, **options):
     s1, pool = _split(spark, d)
     of = lambda df: df.select(F.col("entity_id").alias("id"), F.col("name_tokens").alias("tokens"))
-    return R.tfidf_top(of(s1), of(pool), pool.count())
+    return R.tfidf_top(of(s1), of(pool), pool.count(), **options)
 
 
 # Sinks, splits, exploration

@@ -147,3 +147,23 @@ def test_scorer_is_fitted_on_all_records(spark, monkeypatch):
     assert given["calibrated"].count() == rows.filter("fold = 1").count() > 0
     assert set(X.FEATURES) | {f"{c}__null" for c in X.NULLABLE} <= set(given["names"])
     assert rows.filter(" OR ".join(f"{n} IS NULL" for n in given["names"])).count() == 0 < rows.filter("x_rival_num__null = 1").count()
+
+
+def test_names_meet_the_cells_once_and_only_as_far_as_they_count(spark):
+    """Records of the same words, in any order, are compared as one, and leaving off where no record can come among the best changes no result, at any least score."""
+    from kinfold.operators import retrieval as R
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    names = [[rng.choice(words) for _ in range(rng.randrange(0, 6))] for _ in range(300)]
+    rows = [(i, rng.sample(n, len(n))) for i, n in enumerate(names + names[:200] + names[:40] + [["same", "name"]] * 60)]
+    rng.shuffle(rows)
+    of = lambda rows: spark.createDataFrame(rows, "id long, tokens array<string>")
+    q, c = of(rows[:150]), of(rows[150:])
+    found = lambda df: sorted((r.qid, r["rank"], r.cid, r.score) for r in df.collect())
+    for least, top in ((0.05, 6), (0.05, 25), (0.6, 6), (0.85 - 5e-7, 25)):
+        want = found(R.tfidf_join(q, c, len(rows) - 150, top=top, least=least))
+        assert found(R.tfidf_top(q, c, len(rows) - 150, top=top, least=least, block=40, cell=120)) == want and want
+    plan = plan_of(R.tfidf_top(q, c, len(rows) - 150))
+    assert "(qid#" in plan and " = of#" in plan  # a class is asked by one of its records
