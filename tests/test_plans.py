@@ -167,3 +167,21 @@ def test_names_meet_the_cells_once_and_only_as_far_as_they_count(spark):
         assert found(R.tfidf_top(q, c, len(rows) - 150, top=top, least=least, block=40, cell=120)) == want and want
     plan = plan_of(R.tfidf_top(q, c, len(rows) - 150))
     assert "(qid#" in plan and " = of#" in plan  # a class is asked by one of its records
+
+
+def test_addresses_are_shuffled_part_by_part(spark, monkeypatch):
+    """Queries on whole addresses take the reference records in parts, each pair is in one of them, and nothing is left to shuffle after."""
+    from kinfold.operators import features as X
+    from kinfold.plans import queries as Q
+
+    asked = []
+    for name in ("address", "address_scores"):
+        monkeypatch.setattr(X, name, lambda b, f=getattr(X, name), name=name: (asked.append((name, b.select("s1_id").distinct().count())), f(b))[1])
+    whole = Q._base(spark, SF)[0]
+    for key in [k for k in Q._KEPT if k[1].startswith("feat_addr")]:
+        Q._release(spark, Q._KEPT.pop(key))
+    for query, name, plain in (("feat_addr", "address", X._address), ("feat_addr_token_set", "address_scores", X._address_scores)):
+        got = entry.queries()[query](spark, SF)
+        assert "Join" not in plan_of(got) and len([n for n, _ in asked if n == name]) == Q.PARTS
+        assert sum(n for k, n in asked if k == name) == whole.select("s1_id").distinct().count() > max(n for k, n in asked if k == name)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.select("s1_id", "cand_id", *plain()).collect()))
